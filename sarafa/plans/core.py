@@ -36,7 +36,7 @@ good AS (SELECT line_id, line, regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^",]*
 cells AS (SELECT line_id, clean, CASE WHEN clean THEN regexp_extract_all(line, '(?:^|,)("(?:[^"]|"")*"|[^",]*)', 1) END AS c FROM good),
 bare AS (
   SELECT line_id, clean, len(c) AS n, c,
-    list_transform(c, x -> trim(regexp_replace(replace(regexp_replace(CASE WHEN starts_with(x, '"') THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END, '₹|[Rr][Ss]\.?|[Ii][Nn][Rr]', '', 'g'), ',', ''), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'))) AS v
+    list_transform(c, lambda x: trim(regexp_replace(replace(regexp_replace(CASE WHEN starts_with(x, '"') THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END, '₹|[Rr][Ss]\.?|[Ii][Nn][Rr]', '', 'g'), ',', ''), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'))) AS v
   FROM cells),
 nums AS (
   SELECT line_id, clean, n, c,
