@@ -98,21 +98,25 @@ def parse(records: DataFrame, id_column: str = "record_id") -> DataFrame:
     that is not empty but holds no number stays unread, whatever the value column says. Infinite and NaN
     values are unread.
     """
-    raw = _plain(F.col("raw_string"))
-    has_raw = F.coalesce(F.length(raw) > 0, F.lit(False))
-    unit_c, scale_c, cur_c = (_plain(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("unit", "scale", "currency"))
-    digits = F.regexp_replace(F.regexp_extract(raw, NUMBER, 1), ",", "")
+    # In stages: a cleaned text is used many times and must be computed once.
+    cleaned = records.select(
+        F.col(id_column), F.col("figure").cast("string").alias("figure"), F.upper(F.trim("company")).alias("company"), F.coalesce(_fiscal_year(F.col("period")), _fiscal_year(F.col("raw_string"))).alias("fy"),
+        F.coalesce(_plain(F.col("raw_string")), F.lit("")).alias("raw"), F.col("value").cast("double").alias("value"), *(_plain(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"{c}_c") for c in ("unit", "scale", "currency")),
+    )
+    raw, value = F.col("raw"), F.col("value")
     minus = raw.rlike(r"(?:^|[^0-9a-z])[-−–]\s?(?:₹|rs\.?|inr)?\s?\.?[0-9]") | raw.rlike(r"\(\s*[-−–]?(?:₹|rs\.?|inr)?\s*" + NUMBER + r"\s*\)")
-    from_raw = F.when(F.length(digits) > 0, F.when(minus, -digits.try_cast("decimal(28,8)")).otherwise(digits.try_cast("decimal(28,8)")))
-    value = F.col("value").cast("double")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e19)
-    number = F.when(has_raw, from_raw).otherwise(F.when(finite, value.cast("string").try_cast("decimal(28,8)")))
-    rest = F.regexp_replace(raw, NUMBER, " ")
-    raw_unit = F.when(has_raw, _unit_of(raw, True))
-    raw_scale = F.when(has_raw, _scale_of(rest))
-    raw_word = F.when(has_raw, _other_word(rest))
-    col_unit = F.coalesce(F.when(_unit_of(cur_c, False) == "foreign", F.lit("foreign")), _unit_of(unit_c, False))
-    col_scale = F.coalesce(_scale_of(F.regexp_replace(unit_c, r"rupees?", " ")), _scale_of(scale_c), _other_word(scale_c))
+    marked = cleaned.select(
+        "*", F.regexp_replace(F.regexp_extract(raw, NUMBER, 1), ",", "").alias("digits"), minus.alias("minus"), F.when(finite, value.cast("string").try_cast("decimal(28,8)")).alias("plain_value"), F.regexp_replace(raw, NUMBER, " ").alias("rest"),
+        _unit_of(raw, True).alias("raw_unit"), F.coalesce(F.when(_unit_of(F.col("currency_c"), False) == "foreign", F.lit("foreign")), _unit_of(F.col("unit_c"), False)).alias("col_unit"),
+    )
+    words = marked.select(
+        "*", _scale_of(F.col("rest")).alias("raw_scale"), _other_word(F.col("rest")).alias("raw_word"),
+        F.coalesce(_scale_of(F.regexp_replace("unit_c", r"rupees?", " ")), _scale_of(F.col("scale_c")), _other_word(F.col("scale_c"))).alias("col_scale"),
+    )
+    raw_unit, raw_scale, raw_word, col_unit, digits = (F.col(c) for c in ("raw_unit", "raw_scale", "raw_word", "col_unit", "digits"))
+    read = digits.try_cast("decimal(28,8)")
+    number = F.when(F.length(raw) > 0, F.when(F.length(digits) > 0, F.when(F.col("minus"), -read).otherwise(read))).otherwise(F.col("plain_value"))
     ratio_like = raw_unit.isin("percent", "bps", "multiple")
     # A rupee mark without scale word means whole rupees; a scale word alone means rupees of that scale. A word
     # that the lexicon lacks is looked at last, so that it never hides what the columns say.
@@ -123,9 +127,8 @@ def parse(records: DataFrame, id_column: str = "record_id") -> DataFrame:
         col_unit,
         F.when(raw_word.isNotNull(), F.lit("rupee")),
     )
-    scale = F.when(unit == "rupee", F.coalesce(raw_scale, F.when(raw_unit == "rupee", F.lit("one")), col_scale, raw_word))
-    year = F.coalesce(_fiscal_year(F.col("period")), _fiscal_year(F.col("raw_string")))
-    return records.select(F.col(id_column), F.col("figure").cast("string").alias("figure"), F.upper(F.trim("company")).alias("company"), year.alias("fy"), number.alias("number"), unit.alias("unit"), scale.alias("scale"))
+    scale = F.coalesce(raw_scale, F.when(raw_unit == "rupee", F.lit("one")), F.col("col_scale"), raw_word)
+    return words.select(id_column, "figure", "company", "fy", number.alias("number"), unit.alias("unit"), F.when(unit == "rupee", scale).alias("scale"))
 
 
 def _fiscal_year(c: Column) -> Column:
@@ -206,12 +209,10 @@ def convert(records: DataFrame, id_column: str = "record_id", learn: bool = True
     """
     parsed = parse(records, id_column)
     table = _learnt(parsed) if learn else lexicon()
-    kind, factor = F.lit(None).cast("string"), F.lit(None).cast("decimal(16,0)")
-    for (unit, scale), (k, f) in table.items():
-        hit = (F.col("unit") == unit) & (F.col("scale") == scale if scale else F.lit(True))
-        kind, factor = F.when(hit, F.lit(k)).otherwise(kind), F.when(hit, F.lit(f).cast("decimal(16,0)")).otherwise(factor)
-    amount = F.round(F.col("number") * factor, 0).try_cast("bigint")
-    return parsed.select(id_column, kind.alias("quantity_kind"), amount.alias("amount")).filter("quantity_kind IS NOT NULL AND amount IS NOT NULL")
+    worth = F.create_map(*[x for (unit, scale), (k, f) in table.items() for x in (F.lit(":".join(y for y in (unit, scale) if y)), F.struct(F.lit(k).alias("kind"), F.lit(f).cast("decimal(16,0)").alias("factor")))])
+    noted = parsed.select(id_column, "number", F.try_element_at(worth, F.concat_ws(":", "unit", "scale")).alias("to"))
+    amount = F.round(F.col("number") * F.col("to.factor"), 0).try_cast("bigint")
+    return noted.select(id_column, F.col("to.kind").alias("quantity_kind"), amount.alias("amount")).filter("quantity_kind IS NOT NULL AND amount IS NOT NULL")
 
 
 def conversions(records: DataFrame) -> DataFrame:
