@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 120, 20
 #: Parts of a stretch around its middle that are searched in turn until one holds a natural boundary.
-WINDOWS = (0.5, 0.8, 1.0)
+WINDOWS = (0.5, 0.8)
 
 # ---- fixed values ----
 BLANK_LINE, ROW, SENTENCE, LINE, CLAUSE, SPACE = 5, 4, 3, 2, 1, 0
@@ -68,7 +68,10 @@ def strengths(text: str, words: list[tuple[int, int]], form: str) -> list[int]:
 
 
 def cuts(strength: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
-    """Word positions at which new pieces start, by bisection; empty when the whole fits the limit."""
+    """Word positions at which new pieces start, by bisection; empty when the whole fits the limit.
+
+    The first piece gets at least as many words as the overlap, so that the second can begin with its last ones.
+    """
     n, fits = len(strength), limit - overlap
     if n <= limit:
         return []
@@ -80,7 +83,7 @@ def cuts(strength: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> lis
         middle = (a + b) / 2
         for window in WINDOWS:
             reach = max(1.0, (b - a) * window / 2)
-            lo, hi = max(a + 1, int(middle - reach)), min(b - 1, int(middle + reach))
+            lo, hi = max(a + 1, overlap, int(middle - reach)), min(b - 1, int(middle + reach))
             best = max(range(lo, hi + 1), key=lambda i: (strength[i], -abs(i - middle)))
             if strength[best] >= SENTENCE:
                 break
