@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarafa.llm import canonical_values, normal_form, splitting, tokens
+from sarafa.llm import canonical_values, near_dup, normal_form, splitting, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(_table(spark, sf_dir, "chunks"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of events whose titles share at least 0.6 of their words."""
+    return near_dup.NearDuplicates(_table(spark, sf_dir, "ingestion_events"), "event_id", "title").pairs()
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the group of its title."""
+    return near_dup.NearDuplicates(_table(spark, sf_dir, "ingestion_events"), "event_id", "title").groups()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents."""
     return tokens.token_ids(_table(spark, sf_dir, "documents"))
@@ -42,10 +52,15 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.normal_forms(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "form")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 ORACLES = {
+    "p6_found": r"""
+WITH w AS (SELECT DISTINCT event_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM ingestion_events WHERE trim(title) <> ''),
+n AS (SELECT event_id, count(*) AS n FROM w GROUP BY 1),
+s AS (SELECT a.event_id AS x, b.event_id AS y, count(*) AS k FROM w a JOIN w b ON a.word = b.word AND a.event_id < b.event_id GROUP BY 1, 2)
+SELECT x AS event_id_a, y AS event_id_b FROM s JOIN n a ON a.event_id = x JOIN n b ON b.event_id = y WHERE k * 10 >= 6 * (a.n + b.n - k)""",
     "p5_found": rf"SELECT chunk_id FROM chunks WHERE len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')) > 120",
 }
