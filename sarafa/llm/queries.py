@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarafa.llm import canonical_values, near_dup, normal_form, splitting, tokens
+from sarafa.llm import canonical_values, history, near_dup, normal_form, splitting, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that bring known items and content once more."""
+    return history.known_before(_table(spark, sf_dir, "ingestion_events"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed symbols and sectors with the entries they mean."""
     return canonical_values.canonical_values(_table(spark, sf_dir, "sample_portfolio"), _table(spark, sf_dir, "ref_symbols"), _table(spark, sf_dir, "ref_sectors"))
@@ -52,7 +57,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.normal_forms(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "form")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
