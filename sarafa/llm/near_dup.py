@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from sarafa.llm.lineage import cut
 
 #: Bands, minima in a band, and the exponent of the inverse document frequency.
-BANDS, ROWS, POWER = 24, 2, 3.0
+BANDS, ROWS, POWER = 24, 2, 2.5
+#: A word that more than one record in so many has decides only between records that have nothing rarer: by chance
+#: such a word's hash can be least in all records of a template, which would make one band of them all.
+COMMON, FAINT = 500, 1e-9
 #: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus.
 SKETCH = 1 << 18
 #: Of BANDS * ROWS minima, those that must agree before a candidate's words are compared.
@@ -134,7 +137,7 @@ class NearDuplicates:
         self.members = sets.select("id", F.xxhash64("words").alias("key"))
         classes = sets.select("id", "words", F.xxhash64("words").alias("key")).groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words")
         counts, total = frequencies(sets)
-        weight = np.log1p(total / counts) ** POWER
+        weight = np.log1p(total / counts) ** POWER * np.where(counts * COMMON > total, FAINT, 1.0)
         signed = signatures(classes, records.sparkSession.sparkContext.broadcast(weight))
         band = signed.select("rep", F.explode("bands").alias("band"))
         a, b = band.alias("a"), band.alias("b")
