@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarafa.llm import canonical_values, history, near_dup, normal_form, splitting, tokens
+from sarafa.llm import canonical_values, history, mixing, near_dup, normal_form, splitting, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is in the mixture."""
+    return mixing.Mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).copies().select("doc_id", "n_tokens", "rate", "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.Mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).shares()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents that look the same and are stored differently."""
     return normal_form.same_look_pairs(_table(spark, sf_dir, "documents"))
@@ -57,7 +67,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.normal_forms(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "form")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
