@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.llm.lineage import cut
+
 # ---- fixed values ----
 #: Look-alike letters, Greek and Cyrillic, with the Latin letters they look like.
 LOOKALIKES = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳАВЕЅІЈКМНОРСТУХаеорсухѕіјԁһԛԝӏ", "ABEZHIKMNOPTYXvocjABESIJKMHOPCTYXaeopcyxsijdhqwl"))
@@ -118,12 +120,12 @@ def normal_forms(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def same_look_pairs(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: non-blank texts that differ as stored but have one form.
 
-    Texts travel as 128-bit digests. Within a form the differing stored texts are paired as classes first and
+    Texts are normalized once and travel as 128-bit digests. Within a form the differing stored texts are paired as classes first and
     documents are attached to the classes afterwards, so a form that a third of all documents share in one
     stored text costs no pairs among these copies.
     """
     forms = normal_forms(docs, id_column).filter("form IS NOT NULL").filter(~F.col("form").rlike(r"^\s*$"))
-    member = forms.select("id", F.md5("form").alias("form"), F.md5("stored").alias("stored"))
+    member = cut(forms.select("id", F.md5("form").alias("form"), F.md5("stored").alias("stored")))
     several = member.groupBy("form", "stored").agg(F.count("*").alias("n"))
     both = several.groupBy("form").agg(F.count("*").alias("k")).filter("k > 1")
     cls = several.join(both, "form", "left_semi").select("form", "stored")
