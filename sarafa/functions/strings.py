@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "has", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "with")
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 DATE_FORMS = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\bFY\s?[0-9]{2,4}\b|\b(?:19|20)[0-9]{2}-[0-9]{2}\b"
-UNIT_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?(?=\s?(?:%|bps\b|crore|lakh|million|billion|x\b))"
+UNIT_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:%|bps\b|crore|lakh|million|billion|x\b)"
 LONG_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 #: The end of a sentence, replaced by a mark before splitting (no look-behind, so that other engines can do the same).
 SENTENCE_END, MARK = r"([.!?;])\s+|\n+", "\u0001"

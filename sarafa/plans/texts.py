@@ -136,7 +136,7 @@ def q43_source_tiers(s: SparkSession, d: str) -> DataFrame:
 def q46_allwords_search(s: SparkSession, d: str) -> DataFrame:
     """Parts whose names hold all words of a search."""
     name = F.lower("p_name")
-    return table(s, d, "part").filter(F.forall(F.split(F.replace(F.lower(F.lit("part-1")), F.lit("-"), F.lit(" ")), " "), lambda w: F.contains(name, w))).select("p_partkey", "p_name")
+    return table(s, d, "part").filter(F.forall(F.split(F.replace(F.lower(F.lit("red-widget")), F.lit("-"), F.lit(" ")), " "), lambda w: F.contains(name, w))).select("p_partkey", "p_name")
 
 
 def q47_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -227,8 +227,11 @@ s AS (SELECT *, cosine + 0.5 * coalesce(bm25 / nullif(max(bm25) OVER (PARTITION
     "q36_near_dup_pairs": "WITH " + _TITLED + ", p AS (SELECT symbol, day, id, len(t) AS n, unnest(t) AS token FROM toks), h AS (SELECT a.symbol, a.day, a.id AS id_a, b.id AS id_b, least(a.n, b.n) AS m, count(*) AS n_shared FROM p a JOIN p b ON a.symbol = b.symbol AND a.day = b.day AND a.token = b.token AND a.id < b.id GROUP BY ALL) SELECT symbol, day, id_a, id_b, n_shared, round(n_shared / m, 9) AS overlap FROM h WHERE n_shared >= 2 AND n_shared / m >= 0.5",
     "q38_content_hash_dups": r"SELECT hash, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x{0b}]+', ' ', 'g'), ' ')) AS hash FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
     "q39_html_clean": r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace('<p class=''x''>' || replace(text, '&', '&amp;') || '</p><br/>&nbsp;end', '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{0b}]+', ' ', 'g'), ' ')) AS clean FROM documents WHERE text IS NOT NULL",
+    "q41_material_numbers": r"""WITH b AS (SELECT doc_id, regexp_replace(text, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\bFY\s?[0-9]{2,4}\b|\b(?:19|20)[0-9]{2}-[0-9]{2}\b', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+k AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: regexp_replace(x, '[^0-9.]', '', 'g')), lambda x: length(replace(x, '.', '')) >= 3) AS a, list_transform(regexp_extract_all(t, '[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:%|bps\b|crore|lakh|million|billion|x\b)'), lambda x: regexp_replace(x, '[^0-9.]', '', 'g')) AS b FROM b)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), ' ') AS numbers FROM k""",
     "q43_source_tiers": "SELECT CASE lower(tier) WHEN 'primary' THEN 1 WHEN 'analyst' THEN 2 WHEN 'creator' THEN 3 END AS rank, count(*) AS n_chunks, count(DISTINCT c.source_id) AS n_sources, lower(tier) = 'primary' AS citable FROM chunks c JOIN source_registry r ON r.source_id = c.source_id GROUP BY 1, 4",
-    "q46_allwords_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'part') AND contains(lower(p_name), '1')",
+    "q46_allwords_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'widget')",
     "q47_upsert": "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0",
     "q48_dedup_sort_cap": f"WITH x AS (SELECT symbol, doc_id, coalesce(nullif(left(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 80), ''), nullif(left(trim(lower(text), ' '), 80), '')) AS key, {_DAY} AS day FROM documents WHERE text IS NOT NULL AND symbol IS NOT NULL), o AS (SELECT symbol, key, arg_min(doc_id, doc_id) AS doc_id, min(struct_pack(d := doc_id, y := day)).y AS day FROM x WHERE key IS NOT NULL GROUP BY 1, 2), r AS (SELECT symbol, doc_id, CAST(day AS VARCHAR) AS day, CAST(row_number() OVER (PARTITION BY symbol ORDER BY day DESC NULLS LAST, doc_id) AS INTEGER) AS rank FROM o) SELECT * FROM r WHERE rank <= 8",
     "q49_props_json": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY 1",
