@@ -26,6 +26,9 @@ RUPEE = r"(?i)₹|rs\.?|inr"
 DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 # ---- end of fixed values ----
 
+#: Longer lines go through the program even if clean: the pattern's matcher recurses with a line's length.
+PATTERN_MOST = 1000
+
 START, PLAIN, QUOTED, CLOSED = range(4)
 
 
@@ -104,12 +107,14 @@ def _text(chain: tuple | None) -> str:
 
 
 def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds quote_cost, cost and edits to (line_id, line)."""
+    """(line_id, line) -> the costs and edits of the cheapest parse, and the cells of a parse that costs nothing."""
     for batch in batches:
         lines = batch.column(1).to_pylist()
         quote = [cheapest(x)[0] for x in lines]
         whole = [cheapest(x, FIELDS) for x in lines]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quote, pa.int32()), pa.array([x[0] for x in whole], pa.int32()), pa.array(["; ".join(x[1]) for x in whole], pa.string())], names=["line_id", "quote_cost", "cost", "edits"])
+        cells = [x[2] if not q and not x[0] else None for q, x in zip(quote, whole)]
+        columns = [pa.array(quote, pa.int32()), pa.array([x[0] for x in whole], pa.int32()), pa.array(["; ".join(x[1]) for x in whole], pa.string()), pa.array(cells, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["line_id", "quote_cost", "cost", "edits", "cells"])
 
 
 def number(text: Column) -> Column:
@@ -128,19 +133,19 @@ def parse(lines: DataFrame) -> DataFrame:
     taken as data. Repeated lines each give their row.
     """
     body = F.coalesce(F.regexp_replace("raw_line", r"\r$", ""), F.lit(""))
-    rows = lines.filter("line_no IS NULL OR line_no > 1").select("line_id", body.alias("line"))
-    clean = F.col("line").rlike(CLEAN)
-    cells = F.transform(F.regexp_extract_all("line", F.lit(FIELD), 1), lambda c: F.when(c.startswith('"'), F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c))
-    read = rows.withColumn("cells", F.when(clean, cells)).withColumn("ok", F.coalesce(F.size("cells") == FIELDS, F.lit(False)))
-    quantity, cost = number(F.get("cells", F.lit(1))), number(F.get("cells", F.lit(2)))
-    good = read.filter("ok").select(
-        "line_id", F.trim(F.get("cells", F.lit(0))).alias("symbol"), quantity.alias("quantity"), cost.alias("avg_cost"), F.coalesce(F.nullif(F.trim(F.get("cells", F.lit(3))), F.lit("")), F.lit("Unknown")).alias("sector"),
-        F.when(~F.coalesce(quantity > 0, F.lit(False)), "quantity").when(~F.coalesce(cost >= 0, F.lit(False)), "avg_cost").alias("reason"), F.lit(None).cast("string").alias("edits"),
-    )
-    mended = read.filter("NOT ok").select("line_id", "line").mapInArrow(_repairs, "line_id bigint, quote_cost int, cost int, edits string")
-    nothing = F.lit(None)
-    bad = mended.select("line_id", nothing.cast("string").alias("symbol"), nothing.cast("double").alias("quantity"), nothing.cast("double").alias("avg_cost"), nothing.cast("string").alias("sector"), F.when(F.col("quote_cost") > 0, "quoting").otherwise("columns").alias("reason"), "edits")
-    return good.unionByName(bad)
+    rows = lines.filter("line_no IS NULL OR line_no > 1").select(F.col("line_id").cast("bigint").alias("line_id"), body.alias("line"))
+    clean = F.when(F.length("line") <= PATTERN_MOST, F.col("line").rlike(CLEAN)).otherwise(False)
+    split = F.transform(F.regexp_extract_all("line", F.lit(FIELD), 1), lambda c: F.when(c.startswith('"'), F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c))
+    read = rows.withColumn("cells", F.when(clean, split)).withColumn("ok", F.coalesce(F.size("cells") == FIELDS, F.lit(False)))
+    nothing = F.lit(None).cast("string")
+    fine = read.filter("ok").select("line_id", "cells", nothing.alias("reason"), nothing.alias("edits"))
+    mended = read.filter("NOT ok").select("line_id", "line").mapInArrow(_repairs, "line_id bigint, quote_cost int, cost int, edits string, cells array<string>")
+    why = F.when(F.col("quote_cost") > 0, "quoting").when(F.col("cost") > 0, "columns")
+    every = fine.unionByName(mended.select("line_id", "cells", why.alias("reason"), F.when(why.isNotNull(), F.col("edits")).alias("edits")))
+    cell = [F.get("cells", F.lit(i)) for i in range(FIELDS)]
+    typed = every.select("line_id", F.trim(cell[0]).alias("symbol"), number(cell[1]).alias("quantity"), number(cell[2]).alias("avg_cost"), F.when(F.col("reason").isNull(), F.coalesce(F.nullif(F.trim(cell[3]), F.lit("")), F.lit("Unknown"))).alias("sector"), "reason", "edits")
+    bad_type = F.when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), "quantity").when(~F.coalesce(F.col("avg_cost") >= 0, F.lit(False)), "avg_cost")
+    return typed.withColumn("reason", F.coalesce("reason", bad_type))
 
 
 def rejected(lines: DataFrame) -> DataFrame:

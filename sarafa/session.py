@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +65,18 @@ def cut(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors once per application, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_sarafa_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    # The driver's own file server hands the archive out; no executor needs this folder.
+    archive = Path(tempfile.mkdtemp(prefix="sarafa-code-")) / "sarafa_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sarafa_shipped = True
