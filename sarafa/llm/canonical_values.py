@@ -193,9 +193,10 @@ class Matcher:
                     scored[name] = score
         if not scored:
             return None
+        # A value that other entries explain as fully by their words means none of them alone.
         best = max(scored.values())
-        top = [n for n, s in scored.items() if s > best - 1e-9]
-        return top[0] if len(top) == 1 else None
+        near = [n for n, s in scored.items() if s > best * (0.8 if len(kept) == 1 and best < 0.9 else 1 - 1e-9)]
+        return near[0] if len(near) == 1 else None
 
     def _score(self, typed: list[str], form: tuple[str, ...]) -> float:
         """Mean likeness of the typed words times the part of the entry they explain; 0 if one explains nothing."""

@@ -204,6 +204,7 @@ def _scores(ids: list[list[int]], model: np.ndarray) -> np.ndarray:
 
 def fill(wanted: np.ndarray, room: np.ndarray, total: float) -> np.ndarray:
     """Amounts in proportion to what is wanted, none above its room, that sum to the total or, failing that, to all room."""
+    wanted = np.where(wanted > total * 1e-12, wanted, 0.0)
     out, open_ = np.minimum(0.0, room), wanted > 0
     while open_.any():
         left = total - out[~open_].sum()

@@ -7,8 +7,12 @@ so that plain minima would bring all pairs of a template together and weighted o
 bands of two; sets that agree in a whole band are candidates, the agreement of all their minima is checked first,
 the exact plain Jaccard similarity last. Links form groups by alternating large-star and small-star steps.
 
+Pairs that share no word but common ones would be found by chance only. For them alone there is an exact way: in the
+order of rarity, two similar sets must share a word that stands early enough in both, so common words that stand
+early in a set become keys, together with the sizes of the two sets, and sets that agree in a key are candidates.
+
 Records with equal word sets are one class throughout: they are hashed once, and no pair is made among them unless
-pairs of records are asked for. Word frequencies come from a counting sketch over all records, whose size is fixed;
+pairs of records are asked for. Word frequencies come from a counting sketch over all classes, whose size is fixed;
 it is all that the driver gets and broadcasts.
 """
 
@@ -25,9 +29,12 @@ from sarafa.llm.lineage import cut
 
 #: Bands, minima in a band, and the exponent of the inverse document frequency.
 BANDS, ROWS, POWER = 24, 2, 2.5
-#: A word that more than one record in so many has decides only between records that have nothing rarer: by chance
-#: such a word's hash can be least in all records of a template, which would make one band of them all.
-COMMON, FAINT = 500, 1e-9
+#: A word that more than one class in so many has (and more classes than COMMON_LEAST) is common: it decides in a
+#: minimum only between sets that have nothing rarer. By chance such a word's hash can be least in all sets of a
+#: template, which would make one band of them all.
+COMMON, COMMON_LEAST, FAINT = 500, 64, 1e-9
+#: Sizes of sets are told apart up to this ratio in the keys of common words.
+SIZE_STEP = 1.1
 #: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus.
 SKETCH = 1 << 18
 #: Of BANDS * ROWS minima, those that must agree before a candidate's words are compared.
@@ -42,8 +49,8 @@ def words(text: Column) -> Column:
 
 
 def frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
-    """(counts by hash bucket, records): how many records hold a word of each bucket. sets: (id, words)."""
-    # One bucket more counts the records themselves.
+    """(counts by hash bucket, sets): how many sets hold a word of each bucket, and how many there are."""
+    # One bucket more counts the sets themselves.
     spread = F.concat(F.transform("words", lambda w: F.pmod(w, F.lit(SKETCH))), F.array(F.lit(SKETCH)))
     rows = sets.select(F.explode(spread).alias("k")).groupBy("k").agg(F.count("*").alias("n")).toArrow()
     counts = np.zeros(SKETCH + 1, np.int64)
@@ -76,36 +83,86 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
 
 
-def signatures(classes: DataFrame, weights) -> DataFrame:
-    """(rep, key, words, bands array<int>, sig binary) of every class; weights: the broadcast weight of each bucket."""
+def early_keys(flat: np.ndarray, starts: np.ndarray, count: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, side) for the common words that stand early enough: side -1 for a set that is the smaller of its pair, 1 for the larger, 0 for both.
+
+    Sets of sizes a and b are similar only if they share k (a + b) words, k = threshold / (1 + threshold). If their
+    first shared word in the order of rarity has i words before it in the one and j in the other, no more than
+    min(a - i, b - j) are shared. So a word with i before it can be the first shared one only with sets of sizes
+    b <= (a - i) / k - a. Sizes are in steps of SIZE_STEP, rounded so that no pair is lost.
+    """
+    size = np.diff(np.append(starts, len(flat)))
+    owner = np.repeat(np.arange(len(starts)), size)
+    order = np.lexsort((flat, count, owner))
+    rank = np.empty(len(flat), np.int64)
+    rank[order] = np.arange(len(flat)) - np.repeat(starts, size)
+    a = size[owner]
+    keep = np.flatnonzero(common & (a - rank >= threshold * a - 1e-9))
+    a, i, w, own = a[keep].astype(float), rank[keep], flat[keep], owner[keep]
+    log = np.log(SIZE_STEP)
+    step = np.floor(np.log(a) / log + 1e-9).astype(np.int64)
+    least, most = threshold * a, np.minimum(a / threshold, (a - i) * (1 + threshold) / threshold - a)
+    far = int(np.ceil(-np.log(threshold) / log)) + 1
+    out = []
+    for d in range(-far, far + 1):
+        other = step + d
+        # The sizes of a step reach from its power up to, not including, the next one.
+        ok = (SIZE_STEP ** (other + 1.0) > least - 1e-6) & (SIZE_STEP ** other.astype(float) <= most + 1e-6) & (other >= 0)
+        low, high = np.minimum(step, other)[ok].astype(np.uint64), np.maximum(step, other)[ok].astype(np.uint64)
+        key = (_mix(w[ok]) ^ (low << np.uint64(20)) ^ high) * np.uint64(0xD6E8FEB86659FD93)
+        out.append((own[ok], (key ^ (key >> np.uint64(32))).view(np.int64), np.full(ok.sum(), -np.sign(d) if d else 0, np.int8)))
+    own, key, side = (np.concatenate([o[k] for o in out]) for k in range(3))
+    # d > 0: the partner is larger, so this set is the smaller one.
+    return own, key, side
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    order = np.argsort(owner, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[order], kind))
+
+
+def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
+    """(rep, key, words, bands, sig, smaller, larger) of every class; weights: (weight, count, common) of each bucket, broadcast.
+
+    bands: hashes of the bands; sig: a byte of each minimum; smaller, larger: early keys of common words, as the
+    smaller or the larger set of a pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             flat, starts = _flat(batch.column(2))
-            low = minima(flat, starts, weights.value[flat.astype(np.int64) % SKETCH]).view(np.uint64)
+            weight, count, common = (x[flat.astype(np.int64) % SKETCH] for x in weights.value)
+            low = minima(flat, starts, weight).view(np.uint64)
             small = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
-            band = np.zeros((len(low), BANDS), np.uint64)
+            band = np.zeros((n, BANDS), np.uint64)
             for j in range(ROWS):
                 band = (band ^ low[:, j::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
                 band ^= band >> np.uint64(32)
             band = ((band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS), pa.int32()), pa.array(band.astype(np.uint32).view(np.int32).ravel()))
             width = small.shape[1]
-            sig = pa.Array.from_buffers(pa.binary(), len(small), [None, pa.py_buffer(np.arange(0, small.size + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(small))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, sig], names=["rep", "key", "words", "bands", "sig"])
+            sig = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, small.size + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(small))])
+            own, key, side = early_keys(flat, starts, count, common, threshold)
+            sides = [_lists(own[keep], key[keep], n, pa.int64()) for keep in (side <= 0, side >= 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, sig, *sides], names=["rep", "key", "words", "bands", "sig", "smaller", "larger"])
 
-    return classes.mapInArrow(run, "rep bigint, key bigint, words array<int>, bands array<int>, sig binary")
+    return classes.mapInArrow(run, "rep bigint, key bigint, words array<int>, bands array<int>, sig binary, smaller array<bigint>, larger array<bigint>")
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key_a, key_b, words_a, words_b, sig_a, sig_b) -> (key_a, key_b) of the pairs at least as similar."""
+        """(key_a, key_b, words_a, words_b, sig_a, sig_b, agree) -> (key_a, key_b) of the pairs at least as similar.
+
+        agree: how many minima must agree before the words are compared; none for candidates by common words.
+        """
         for batch in batches:
             if batch.num_rows:
                 sig = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5)]
-                batch = batch.filter(pa.array((sig[0] == sig[1]).sum(1) >= AGREE))
+                batch = batch.filter(pa.array((sig[0] == sig[1]).sum(1) >= batch.column(6).to_numpy()))
             n = batch.num_rows
             if not n:
                 continue
@@ -135,17 +192,22 @@ class NearDuplicates:
         self.id_column = id_column
         sets = records.select(F.col(id_column).alias("id"), words(F.col(text_column)).alias("words")).filter("size(words) > 0")
         self.members = sets.select("id", F.xxhash64("words").alias("key"))
-        classes = sets.select("id", "words", F.xxhash64("words").alias("key")).groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words")
-        counts, total = frequencies(sets)
-        weight = np.log1p(total / counts) ** POWER * np.where(counts * COMMON > total, FAINT, 1.0)
-        signed = signatures(classes, records.sparkSession.sparkContext.broadcast(weight))
+        classes = cut(sets.select("id", "words", F.xxhash64("words").alias("key")).groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words"))
+        counts, total = frequencies(classes)
+        common = (counts * COMMON > total) & (counts > COMMON_LEAST)
+        weight = np.log1p(total / counts) ** POWER * np.where(common, FAINT, 1.0)
+        signed = signatures(classes, records.sparkSession.sparkContext.broadcast((weight, counts, common)), threshold)
         band = signed.select("rep", F.explode("bands").alias("band"))
         a, b = band.alias("a"), band.alias("b")
-        pair = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-        side = signed.select("rep", "key", "words", "sig")
+        chance = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.lit(AGREE).alias("agree"))
+        s, l = signed.select("rep", F.explode("smaller").alias("k")).alias("s"), signed.select("rep", F.explode("larger").alias("k")).alias("l")
+        sure = s.join(l.hint("merge"), (F.col("s.k") == F.col("l.k")) & (F.col("s.rep") != F.col("l.rep"))).select(F.least("s.rep", "l.rep").alias("rep_a"), F.greatest("s.rep", "l.rep").alias("rep_b"), F.lit(0).alias("agree"))
+        pair = chance.unionByName(sure).groupBy("rep_a", "rep_b").agg(F.min("agree").alias("agree"))
+        # One exchange serves both sides of the verification.
+        side = signed.select("rep", "key", "words", "sig").repartition("rep")
         x = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns))
         y = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns))
-        full = pair.join(x, "rep_a").join(y, "rep_b").select("key_a", "key_b", "words_a", "words_b", "sig_a", "sig_b")
+        full = pair.join(x, "rep_a").join(y, "rep_b").select("key_a", "key_b", "words_a", "words_b", "sig_a", "sig_b", "agree")
         #: (key_a, key_b): links between different classes, each once.
         self.links = full.mapInArrow(_verify(threshold), "key_a bigint, key_b bigint")
 
