@@ -14,7 +14,7 @@ NEWS = "array<struct<id:string,content:struct<title:string,summary:string,descri
 RSS = "struct<channel:struct<item:array<struct<title:string,link:string,pubDate:string,description:string,source:string>>>>"
 LISTING = "struct<data:array<struct<fileName:string,toYr:string>>>"
 EVENT = "item_key string, source_id string, content_hash string, as_of string, observed_at string, kind string, ref string, title string, cluster_id string"
-RFC822 = "EEE, dd MMM yyyy HH:mm:ss"
+RFC822_DAY = r"([0-9]{1,2} [A-Za-z]{3} [0-9]{4})"
 # ---- end of fixed values ----
 
 
@@ -57,7 +57,7 @@ def news_rss(docs: DataFrame, column: str = "body") -> DataFrame:
     r = docs.select(F.explode(F.from_xml(column, RSS)["channel"]["item"]).alias("r"))
     publisher = F.trim("r.source")
     cut = F.when(publisher.isNotNull() & F.endswith("r.title", F.concat(F.lit(" - "), publisher)), F.substring("r.title", F.lit(1), F.length("r.title") - F.length(publisher) - 3)).otherwise(F.col("r.title"))
-    day = F.to_date(F.try_to_timestamp(F.substring(F.trim("r.pubDate"), 1, 25), F.lit(RFC822)))
+    day = F.try_to_date(F.regexp_extract("r.pubDate", RFC822_DAY, 1), "d MMM yyyy")
     return r.select(F.trim(cut).alias("title"), publisher.alias("publisher"), F.col("r.link").alias("url"), F.coalesce(day, dates.any_date(F.col("r.pubDate"))).alias("published"), strings.clean_html(F.col("r.description")).alias("summary")).filter("title <> ''")
 
 
