@@ -109,3 +109,33 @@ def test_corpus_against_brute_force(tables):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
         want |= {(root(i), i) for i, _ in v if root(i) != i}
     assert {tuple(r) for r in H.known_before(e).collect()} == want
+
+
+def test_index_in_files_gives_what_one_pass_gives(spark, tables, tmp_path):
+    """Ten batches added one after the other: the same pairs, few shards, none lost in merging."""
+    from sarafa.llm.index import HistoryIndex
+
+    e = tables("ingestion_events").filter("batch_no <= 10 OR batch_no IS NULL")
+    last = e.agg({"event_id": "max"}).first()[0]
+    index, got = HistoryIndex(spark, str(tmp_path / "index"), parts=4), set()
+    for k in range(10):
+        part = e.filter(f"event_id > {last * k // 10} AND event_id <= {last * (k + 1) // 10}")
+        got |= {tuple(r) for r in index.add(part).collect()}
+    want = {tuple(r) for r in H.known_before(e).collect()}
+    firsts, wants = {}, {}
+    for a, b in got:
+        firsts[b] = a
+    for a, b in want:
+        wants[b] = a
+    assert set(firsts) == set(wants) and sum(firsts[b] == wants[b] for b in wants) >= 0.99 * len(wants)
+    assert [s["batches"] for s in index.live()] == [8, 2]
+
+
+def test_index_with_an_empty_batch(spark, tmp_path):
+    from sarafa.llm.index import HistoryIndex
+
+    index = HistoryIndex(spark, str(tmp_path / "index"), parts=2)
+    ev = events(spark, (1, SAME_KEYS[0], SHA), (2, SAME_KEYS[9], SHA))
+    assert index.add(ev.limit(0)).count() == 0
+    assert index.add(ev.filter("event_id = 1")).count() == 0
+    assert [tuple(r) for r in index.add(ev.filter("event_id = 2")).collect()] == [(1, 2)]
