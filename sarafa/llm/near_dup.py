@@ -202,7 +202,8 @@ class NearDuplicates:
         chance = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.lit(AGREE).alias("agree"))
         s, l = signed.select("rep", F.explode("smaller").alias("k")).alias("s"), signed.select("rep", F.explode("larger").alias("k")).alias("l")
         sure = s.join(l.hint("merge"), (F.col("s.k") == F.col("l.k")) & (F.col("s.rep") != F.col("l.rep"))).select(F.least("s.rep", "l.rep").alias("rep_a"), F.greatest("s.rep", "l.rep").alias("rep_b"), F.lit(0).alias("agree"))
-        pair = chance.unionByName(sure).groupBy("rep_a", "rep_b").agg(F.min("agree").alias("agree"))
+        # Sent by rep_a, candidates are counted once and are where the verification's first join wants them.
+        pair = chance.unionByName(sure).repartition("rep_a").groupBy("rep_a", "rep_b").agg(F.min("agree").alias("agree"))
         # One exchange serves both sides of the verification.
         side = signed.select("rep", "key", "words", "sig").repartition("rep")
         x = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns))
