@@ -32,8 +32,8 @@ EXCHANGE = r"(?:\.(?:NS|BO)|-EQ)$"
 DECORATION = r"\?[a-z0-9_]+=[^-#/?]*|#[a-z0-9_]+|\.html?\b|%[0-9a-f]{2}"
 # ---- end of fixed values ----
 
-#: Of the longer slug's letters, the part that matching words must make up.
-SAME_LETTERS = 0.6
+#: The part of a slug's letters that matching words must make up: of the longer slug, or of the shorter one.
+SAME_LETTERS, SAME_SHORTER = 0.5, 0.8
 
 
 def digest(c: Column) -> Column:
@@ -65,13 +65,14 @@ def items(events: DataFrame) -> DataFrame:
 def same_slug(a: str, b: str) -> bool:
     """Whether two slugs differ by small slips: a word more, less or elsewhere, a letter wrong.
 
-    Words are matched equal ones first, then those one slip apart (two in long words); the matched ones must make up most of the
-    longer slug. Numbers must be equal, unless one slug has none.
+    Words are matched equal ones first, then those one slip apart (two in long words). The matched ones must make up
+    half of the longer slug's letters, or nearly all of the shorter one's: what is compared already agrees in company,
+    date and content. Numbers must be equal, unless one slug has none.
     """
     if a == b:
         return True
     left, right = a.split(), b.split()
-    total = max(sum(map(len, left)), sum(map(len, right)))
+    shorter, longer = sorted((sum(map(len, left)), sum(map(len, right))))
     if not left or not right:
         return False
     matched = 0
@@ -87,7 +88,7 @@ def same_slug(a: str, b: str) -> bool:
         if near is not None:
             right.remove(near)
             matched += max(len(w), len(near))
-    return matched >= SAME_LETTERS * total
+    return matched >= SAME_LETTERS * longer or matched >= SAME_SHORTER * shorter
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

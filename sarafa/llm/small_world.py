@@ -25,6 +25,8 @@ def sketches(slugs: list[str], blocks: np.ndarray) -> np.ndarray:
     out = np.zeros((n, WIDTH), np.uint64)
     if not n:
         return out
+    if n > 20_000:  # a bitmap of bytes is made on the way
+        return np.concatenate([sketches(slugs[a : a + 20_000], blocks[a : a + 20_000]) for a in range(0, n, 20_000)])
     out[:, 0] = blocks.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     raw = [f"  {s}  ".encode() for s in slugs]
     size = np.array([len(r) for r in raw])
