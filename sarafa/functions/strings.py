@@ -105,3 +105,18 @@ def windows(c: Column, width: int = 120, lap: int = 20) -> Column:
     """The text's words in overlapping windows, joined by blanks; NULL for blank texts."""
     words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
     return F.transform(window_starts(F.size(words), width, lap), lambda i: F.array_join(F.slice(words, i + 1, F.lit(width)), " "))
+
+
+def all_words(c: Column, query: str) -> Column:
+    """Whether a name holds every word of a query; hyphens part words; an empty query fits all."""
+    name = F.lower(c)
+    fits = F.lit(True)
+    for word in query.lower().replace("-", " ").split():
+        fits = fits & F.contains(name, F.lit(word))
+    return fits
+
+
+def sector_kind(c: Column) -> Column:
+    """bank, nbfc, real_estate or other, by words of a sector's or industry's name."""
+    s = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(F.contains(s, F.lit("bank")), "bank").when(s.rlike("credit services|mortgage|conglomerate|nbfc"), "nbfc").when(F.contains(s, F.lit("real estate")), "real_estate").otherwise("other")

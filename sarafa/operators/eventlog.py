@@ -76,3 +76,14 @@ def run_summary(events: DataFrame, today: str, *keys: str) -> DataFrame:
     return out.withColumn("recent", F.greatest(F.lit(0), F.col("new") + F.col("superseded") + F.col("skipped") - F.col("undated")))
 
 
+
+
+def latest_merge(persisted: DataFrame, session: DataFrame, key: str, order: str, keep) -> DataFrame:
+    """Persisted rows overridden by the latest session row of their key; keys whose latest row fails keep are dropped.
+
+    Both have the same columns; keep is a condition on them. Of equally late rows the first by all columns wins.
+    """
+    rest = [c for c in session.columns if c not in (key, order)]
+    last = session.groupBy(key).agg(F.max(order).alias(order), F.min_by(F.struct(*rest), F.struct((-F.unix_micros(order) if dict(session.dtypes)[order] == "timestamp" else -F.col(order)).alias("o"), *rest)).alias("r")).select(key, order, *(f"r.{c}" for c in rest))
+    stay = persisted.join(last.select(key), key, "left_anti")
+    return stay.unionByName(last.filter(keep))

@@ -48,3 +48,14 @@ def extract(texts: DataFrame, id_column: str = "chunk_id", text_column: str = "t
     out = h.select("id", "pos", "raw", F.when(F.col("neg"), -size).otherwise(size).alias("value"), unit.alias("unit"), scale.alias("scale"), F.when(unit == "rupees", F.when(F.col("marked"), "INR").otherwise(F.col("money"))).alias("currency"))
     factor = F.create_map(*[F.lit(x) for kv in FACTORS.items() for x in kv])
     return out.filter("unit IS NOT NULL AND value IS NOT NULL").withColumn("absolute", F.col("value") * F.element_at(factor, F.col("scale"))).filter(F.abs("absolute") < float("inf"))
+
+
+def grounded(extracted: DataFrame) -> DataFrame:
+    """extracted (text, quote, value_text, year) with grounded: the quote stands in the text and holds the digits, or these are three or more and stand in the text; a stated year must be in the quote or text."""
+    squeeze = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    text, quote, digits = squeeze(F.col("text")), squeeze(F.col("quote")), F.regexp_replace(F.coalesce("value_text", F.lit("")), "[^0-9]", "")
+    bare = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    by_quote = (F.length(quote) > 0) & F.contains(text, quote) & F.contains(bare(quote), digits)
+    by_text = (F.length(digits) >= 3) & F.contains(bare(text), digits)
+    year = F.col("year").isNull() | F.contains(text, F.col("year").cast("string"))
+    return extracted.withColumn("grounded", (F.length(digits) > 0) & (by_quote | by_text) & year)

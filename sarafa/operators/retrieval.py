@@ -79,3 +79,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, pinned: DataFrame, k: int = TO
     s = cand.join(best, "query_id").withColumn("score", F.col("cosine") + BM_WEIGHT * F.coalesce(F.try_divide("bm25", "best"), F.lit(0.0)))
     w = W.partitionBy("query_id", "is_pinned").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("is_pinned") | (F.col("rank") <= k)).select("query_id", "id", "score", "is_pinned", "rank")
+
+
+def best_over_queries(scored: DataFrame, score: str, k: int = 18) -> DataFrame:
+    """(id, score): each chunk's best score over all queries, the k best chunks; ties by id."""
+    return scored.groupBy("id").agg(F.max(score).alias(score)).orderBy(F.desc(score), "id").limit(k)

@@ -165,3 +165,23 @@ def water_fill(candidates: DataFrame, amount: float, keys: tuple[str, ...] = ())
     at = s.withColumn("level_here", (F.col("left") - F.col("below")) / (F.col("n") - F.col("k") + 1))
     level = F.min(F.when(F.col("level_here") <= F.col("room"), F.struct("k", "level_here"))).over(tier)["level_here"]
     return at.withColumn("level", level).withColumn("take", F.when(F.col("left") >= F.col("total"), F.col("room")).otherwise(F.least("room", "level"))).drop("total", "before", "below", "k", "n", "level_here", "level", "left")
+
+
+def share_of(part: DataFrame, whole: DataFrame, high: float = 0.25) -> DataFrame:
+    """(entity, fy, share, n_high, n_years): the latest year's part of the whole, and in how many years it was high."""
+    both = part.withColumnRenamed("value", "p").join(whole.withColumnRenamed("value", "w"), ["entity", "fy"]).filter("p IS NOT NULL AND w > 0").withColumn("share", F.col("p") / F.col("w"))
+    return both.groupBy("entity").agg(F.max("fy").alias("fy"), F.max_by("share", "fy").alias("share"), F.count_if(F.col("share") >= high).alias("n_high"), F.count("*").alias("n_years"))
+
+
+def trend_lines(revenue: DataFrame, profit: DataFrame) -> DataFrame:
+    """(entity, lines): what growth, margin and swing say, in that order; a line whose inputs are missing is left out."""
+    m = margin_direction(revenue, profit)
+    s = swing(profit).select("entity", F.col("swing"), F.col("verdict"))
+    pct = lambda c: F.format_number(c, 1)
+    lines = F.array_compact(F.array(
+        F.when(F.col("revenue_cagr").isNotNull(), F.concat(F.lit("revenue "), direction(F.col("revenue_cagr")), F.lit(" at "), pct("revenue_cagr"), F.lit("% a year"))),
+        F.when(F.col("profit_cagr").isNotNull(), F.concat(F.lit("profit "), direction(F.col("profit_cagr")), F.lit(" at "), pct("profit_cagr"), F.lit("% a year"))),
+        F.when(F.greatest("revenue_cagr", "profit_cagr") <= 100, F.concat(F.lit("margins "), F.col("margin"))),
+        F.when(F.col("verdict").isNotNull(), F.concat(F.lit("profit growth "), F.col("verdict"))),
+    ))
+    return m.join(s, "entity", "left").select("entity", F.array_join(lines, "; ").alias("lines"))

@@ -90,3 +90,40 @@ def align(values: DataFrame, scalars: DataFrame) -> DataFrame:
     r = F.row_number().over(W.partitionBy("entity", "figure").orderBy("ord"))
     fill = spare.withColumn("r", r).filter(F.col("r") <= 2 - F.coalesce("n", F.lit(0))).select("entity", "figure", "source_id", "value", F.lit("reported").alias("locator"), "ord")
     return dated.unionByName(fill)
+
+
+def source_lists(values: DataFrame) -> DataFrame:
+    """(entity, figure, sources): the sources that state a value, sorted, joined by commas."""
+    return values.filter("value IS NOT NULL").groupBy("entity", "figure").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"))
+
+
+def vintage(series: DataFrame) -> DataFrame:
+    """(entity, fy): the latest year among the verified values (entity, figure, fy, value)."""
+    return series.filter("value IS NOT NULL").groupBy("entity").agg(F.max("fy").alias("fy"))
+
+
+def single_record_years(records: DataFrame, *keys: str) -> DataFrame:
+    """The records of those years (keys, fy) that have exactly one: growth is never derived from a year with two."""
+    rest = [c for c in records.columns if c not in (*keys, "fy")]
+    one = records.groupBy(*keys, "fy").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    return one.filter("_n = 1").drop("_n")
+
+
+def to_snapshot(values: DataFrame) -> DataFrame:
+    """(entity, snapshot): figures as JSON, figure -> [[value, source, locator]...] in input order."""
+    item = F.struct("ord", F.array(F.col("value").cast("string"), "source_id", F.coalesce("locator", F.lit(""))).alias("v"))
+    f = values.groupBy("entity", "figure").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["v"]).alias("v"))
+    return f.groupBy("entity").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("figure", "v"))))).alias("snapshot"))
+
+
+def from_snapshot(snapshots: DataFrame) -> DataFrame:
+    """(entity, figure, source_id, value, locator, ord) of such JSON; bad JSON gives none."""
+    m = snapshots.select("entity", F.explode(F.from_json("snapshot", "map<string,array<array<string>>>")).alias("figure", "v"))
+    e = m.select("entity", "figure", F.posexplode("v").alias("ord", "x"))
+    return e.select("entity", "figure", F.get("x", F.lit(1)).alias("source_id"), F.get("x", F.lit(0)).try_cast("double").alias("value"), F.get("x", F.lit(2)).alias("locator"), F.col("ord").cast("bigint").alias("ord"))
+
+
+def context_lines(figures: DataFrame) -> DataFrame:
+    """(entity, text): an entity's figures as lines "name: value (status)", sorted, to be cited as one text."""
+    line = F.concat(F.col("figure"), F.lit(": "), F.coalesce(F.format_number("value", 2), F.lit("unknown")), F.lit(" ("), F.col("status"), F.lit(")"))
+    return figures.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))

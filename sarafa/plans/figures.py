@@ -140,7 +140,35 @@ def q26_sip_projection(s: SparkSession, d: str) -> DataFrame:
     return c.select("k", F.round(T.sip_value(F.col("m"), F.col("r"), F.col("y")), 3).alias("nominal"), F.round(T.real_value(T.sip_value(F.col("m"), F.col("r"), F.col("y")), F.col("y")), 3).alias("real"))
 
 
-QUERIES = {f.__name__: f for f in (q10_verify_figures, q11_verify_identity, q12_verified_series, q13_latest_common_year, q13_aligned, q14_fy_cagr_trend, q15_yoy_swing, q15_latest_growth, q16_cash_conversion, q17_turning_points, q18_asof_price, q19_median_pe, q20_ratio_suite, q21_signals, q24_allocation, q26_sip_projection)}
+def q60_source_lists(s: SparkSession, d: str) -> DataFrame:
+    """The sources that state each yearly revenue."""
+    return V.source_lists(_sources(s, d))
+
+
+def q61_vintage(s: SparkSession, d: str) -> DataFrame:
+    """The latest verified year by part type."""
+    return V.vintage(V.verified_series(_sources(s, d)))
+
+
+def q62_single_record_years(s: SparkSession, d: str) -> DataFrame:
+    """Figures of companies that one record alone states for a year."""
+    n = table(s, d, "numeric_records").filter("company IS NOT NULL AND figure IS NOT NULL AND period IS NOT NULL")
+    return V.single_record_years(n.select("company", "figure", F.col("period").alias("fy"), "record_id"), "company", "figure")
+
+
+def q63_share_of_revenue(s: SparkSession, d: str) -> DataFrame:
+    """Tax as a part of net revenue, latest and how often high."""
+    y = _yearly(s, d)
+    return P.rounded(T.share_of(y.select("entity", "fy", F.col("tax").alias("value")), y.select("entity", "fy", F.col("net").alias("value")), 0.042), 8, "share")
+
+
+def q64_trend_lines(s: SparkSession, d: str) -> DataFrame:
+    """What the trends say, in words."""
+    y = _yearly(s, d)
+    return T.trend_lines(y.select("entity", "fy", "value"), y.select("entity", "fy", F.col("net").alias("value")))
+
+
+QUERIES = {f.__name__: f for f in (q60_source_lists, q61_vintage, q62_single_record_years, q63_share_of_revenue, q64_trend_lines, q10_verify_figures, q11_verify_identity, q12_verified_series, q13_latest_common_year, q13_aligned, q14_fy_cagr_trend, q15_yoy_swing, q15_latest_growth, q16_cash_conversion, q17_turning_points, q18_asof_price, q19_median_pe, q20_ratio_suite, q21_signals, q24_allocation, q26_sip_projection)}
 
 _YEARLY = "yearly AS (SELECT p_type AS entity, CAST(year(l_shipdate) AS INTEGER) AS fy, sum(l_extendedprice) AS value, sum(l_extendedprice * (1 - l_discount)) AS net, sum(l_extendedprice * l_tax) AS tax, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
@@ -179,6 +207,10 @@ rated AS (SELECT *, CASE WHEN debt_equity IS NULL THEN 'unknown' WHEN debt_equit
   CASE WHEN ocf_profit IS NULL THEN 'unknown' WHEN ocf_profit < 0 THEN 'red_flag' WHEN ocf_profit >= 0.8 THEN 'strong' WHEN ocf_profit < 0.5 THEN 'weak' ELSE 'mixed' END AS cash_band, cannot OR coalesce(ocf_profit < 0, false) AS severe FROM banded)"""
 
 ORACLES = {
+    "q60_source_lists": _YEAR_SOURCES + " SELECT entity, figure, array_to_string(list_sort(list_distinct(list(source_id))), ',') AS sources FROM vals WHERE value IS NOT NULL GROUP BY 1, 2",
+    "q61_vintage": _YEAR_SOURCES + ", " + _consensus_sql("entity, figure, fy") + " SELECT entity, max(fy) AS fy FROM verdict WHERE status = 'verified' GROUP BY 1",
+    "q62_single_record_years": "SELECT company, figure, period AS fy, min(record_id) AS record_id FROM numeric_records WHERE company IS NOT NULL AND figure IS NOT NULL AND period IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 1",
+    "q63_share_of_revenue": "WITH " + _YEARLY + " SELECT entity, max(fy) AS fy, round(arg_max(tax / net, fy), 8) AS share, count(*) FILTER (WHERE tax / net >= 0.042) AS n_high, count(*) AS n_years FROM yearly WHERE net > 0 GROUP BY 1",
     "q10_verify_figures": "WITH " + _three_sql("SELECT p_partkey AS entity, 'price' AS figure, p_retailprice AS value, p_partkey AS n FROM part", "entity, figure") + ", " + _consensus_sql("entity, figure") + " SELECT entity, figure, status, round(value, 6) AS value, n_agree, outliers FROM verdict",
     "q11_verify_identity": "WITH p AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS parts FROM lineitem GROUP BY 1) SELECT o_orderkey AS k, round(o_totalprice, 4) AS total, round(parts, 4) AS parts, CASE WHEN o_totalprice IS NULL OR parts IS NULL THEN 'unverifiable' WHEN abs(parts - o_totalprice) / greatest(abs(o_totalprice), 1e-9) <= 0.01 THEN 'verified' ELSE 'conflict' END AS status FROM orders LEFT JOIN p ON k = o_orderkey",
     "q12_verified_series": _YEAR_SOURCES + ", " + _consensus_sql("entity, figure, fy") + " SELECT entity, figure, fy, round(value, 3) AS value FROM verdict WHERE status = 'verified'",

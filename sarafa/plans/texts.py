@@ -82,6 +82,11 @@ def q34_hybrid_topk_pins(s: SparkSession, d: str) -> DataFrame:
     return R.hybrid(c, _questions(s, d), pins).select("query_id", "id", F.round("score", 6).alias("score"), "is_pinned")
 
 
+def q65_best_over_questions(s: SparkSession, d: str) -> DataFrame:
+    """The 18 chunks that answer some question best."""
+    return R.best_over_queries(R.tfidf(table(s, d, "chunks"), _questions(s, d)).withColumn("cosine", F.round("cosine", 9)), "cosine")
+
+
 def q35_window_chunks(s: SparkSession, d: str) -> DataFrame:
     """Documents in windows of 120 words that overlap by 20."""
     return table(s, d, "documents").select("doc_id", F.posexplode(strings.windows(F.col("text"))).alias("piece", "words"))
@@ -135,8 +140,7 @@ def q43_source_tiers(s: SparkSession, d: str) -> DataFrame:
 
 def q46_allwords_search(s: SparkSession, d: str) -> DataFrame:
     """Parts whose names hold all words of a search."""
-    name = F.lower("p_name")
-    return table(s, d, "part").filter(F.forall(F.split(F.replace(F.lower(F.lit("red-widget")), F.lit("-"), F.lit(" ")), " "), lambda w: F.contains(name, w))).select("p_partkey", "p_name")
+    return table(s, d, "part").filter(strings.all_words(F.col("p_name"), "red-widget")).select("p_partkey", "p_name")
 
 
 def q47_upsert(s: SparkSession, d: str) -> DataFrame:
@@ -185,7 +189,7 @@ def q55_set_ops(s: SparkSession, d: str) -> DataFrame:
     return both.unionByName(a.subtract(b).select("k", F.lit("supplier").alias("side"))).unionByName(b.subtract(a).select("k", F.lit("customer").alias("side")))
 
 
-QUERIES = {f.__name__: f for f in (q27_event_actions, q27_current_versions, q27_quarantine, q28_event_freshness, q29_ingest_summary, q30_latest_per_source, q31_tokens_df, q31_corpus_stats, q32_tfidf_topk, q33_bm25_topk, q34_hybrid_topk_pins, q35_window_chunks, q36_near_dup_pairs, q37_near_dup_clusters, q37_representatives, q38_content_hash_dups, q39_html_clean, q41_material_numbers, q43_source_tiers, q46_allwords_search, q47_upsert, q48_dedup_sort_cap, q49_props_json, q50_tumbling, q50_sessions, q51_rollup_cube, q55_set_ops)}
+QUERIES = {f.__name__: f for f in (q27_event_actions, q27_current_versions, q27_quarantine, q28_event_freshness, q29_ingest_summary, q30_latest_per_source, q31_tokens_df, q31_corpus_stats, q32_tfidf_topk, q33_bm25_topk, q34_hybrid_topk_pins, q65_best_over_questions, q35_window_chunks, q36_near_dup_pairs, q37_near_dup_clusters, q37_representatives, q38_content_hash_dups, q39_html_clean, q41_material_numbers, q43_source_tiers, q46_allwords_search, q47_upsert, q48_dedup_sort_cap, q49_props_json, q50_tumbling, q50_sessions, q51_rollup_cube, q55_set_ops)}
 
 _DAY = """coalesce(CASE WHEN regexp_matches(trim(as_of), '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(left(trim(as_of), 10) AS DATE) END, CAST(try_strptime(trim(as_of), '%d-%b-%Y %H:%M:%S') AS DATE), CAST(try_strptime(trim(as_of), '%d-%b-%Y') AS DATE), CAST(try_strptime(trim(as_of), '%d %b %Y') AS DATE), CAST(try_strptime(trim(as_of), '%d/%m/%Y') AS DATE))"""
 _VALID = "coalesce(trim(item_key) <> '' AND trim(content_hash) <> '', false)"
@@ -219,6 +223,7 @@ ORACLES = {
     "q31_tokens_df": f"SELECT term, count(*) AS df FROM {_post('documents', 'doc_id')} GROUP BY 1",
     "q31_corpus_stats": "SELECT count(*) AS n_docs, round(avg(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))), 6) AS avg_len FROM documents",
     "q32_tfidf_topk": _IR + "SELECT * FROM (SELECT query_id, id, round(cosine, 9) AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS INTEGER) AS rank FROM cos) WHERE rank <= 5",
+    "q65_best_over_questions": _IR + "SELECT id, max(round(cosine, 9)) AS cosine FROM cos GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 18",
     "q33_bm25_topk": _IR + "SELECT * FROM (SELECT query_id, id, round(bm25, 9) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS INTEGER) AS rank FROM bm) WHERE rank <= 5",
     "q34_hybrid_topk_pins": _IR + """, pins AS (SELECT chunk_id AS id FROM chunks WHERE lower(section) = 'balance sheet' AND source_id IN (SELECT source_id FROM source_registry WHERE tier = 'primary')),
 c AS (SELECT cos.query_id, cos.id, cosine, bm25, cos.id IN (SELECT id FROM pins) AS is_pinned FROM cos LEFT JOIN bm ON bm.query_id = cos.query_id AND bm.id = cos.id), k AS (SELECT * FROM c WHERE is_pinned OR cosine >= 0.1),
