@@ -20,6 +20,9 @@ DEBT_LOW, DEBT_HIGH, COVER_LEAST, COVER_NONE = 0.50, 1.00, 3.0, 1.0
 GOOD_WEAK = {"roe": (15.0, 8.0), "roce": (15.0, 10.0), "roa": (6.0, 2.0), "net_margin": (12.0, 3.0), "op_margin": (15.0, 5.0), "asset_turnover": (1.0, 0.4)}
 # ---- end of fixed values ----
 
+#: Tiers an allocation may have.
+MAX_TIERS = 1000
+
 
 def cagr(series: DataFrame) -> DataFrame:
     """(entity, n_years, cagr_pct): yearly growth from the first to the last year; NULL under three entries or unless both are positive."""
@@ -79,11 +82,18 @@ def turning_point(series: DataFrame, band: float = PEAK_BAND) -> DataFrame:
 def asof(left: DataFrame, prices: DataFrame) -> DataFrame:
     """(symbol, at, close): for each (symbol, at) the last close on or before at.
 
-    Both sides are united and a window carries the last close forward, one shuffle by symbol instead of a range join.
+    Both sides are united and the last close is carried forward, within each month of a symbol by a window and
+    across months through a small table of their last closes: one shuffle instead of a range join, and a symbol
+    with a third of all rows is spread over its months.
     """
     both = left.select("symbol", F.col("at").alias("t"), F.lit(None).cast("double").alias("close"), F.lit(1).alias("ask")).unionByName(prices.select("symbol", F.col("date").alias("t"), "close", F.lit(0).alias("ask")))
-    w = W.partitionBy("symbol").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("close", F.last("close", ignorenulls=True).over(w)).filter("ask = 1").select("symbol", F.col("t").alias("at"), "close")
+    both = both.withColumn("month", F.year("t") * 12 + F.month("t"))
+    inside = W.partitionBy("symbol", "month").orderBy("t", "ask").rowsBetween(W.unboundedPreceding, 0)
+    ends = both.groupBy("symbol", "month").agg(F.max_by("close", F.when(F.col("close").isNotNull(), F.struct("t", "ask"))).alias("end"))
+    before = W.partitionBy("symbol").orderBy("month").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("symbol", "month", F.last("end", ignorenulls=True).over(before).alias("carry"))
+    found = both.withColumn("here", F.last("close", ignorenulls=True).over(inside)).filter("ask = 1").join(carried, ["symbol", "month"])
+    return found.select("symbol", F.col("t").alias("at"), F.coalesce("here", "carry").alias("close"))
 
 
 def median_pe(prices: DataFrame, eps: DataFrame) -> DataFrame:
@@ -148,23 +158,36 @@ def real_value(nominal: Column, years: Column, inflation: float = 0.06) -> Colum
     return nominal / F.pow(F.lit(1 + inflation), years)
 
 
-def water_fill(candidates: DataFrame, amount: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def water_fill(candidates: DataFrame, amount: float) -> DataFrame:
     """candidates (symbol, tier, room) with take: tiers in order, each filled to one level, nobody above the room.
 
-    Within a tier, sorted by room, the level is (what is left less the rooms before) over those from here on, at
-    the first row whose room is at least that level. Windows run within a tier; what lower tiers take is a small
-    aggregate by tier.
+    The level of a tier is the root of sum(least(room, level)) = what is left for it. From a level too low, the next is
+    (left - the rooms up to it) / how many are above it; this rises to the root in a few steps. A step is one sum per
+    tier over all candidates, without sorting them; tiers are few by meaning, and more than MAX_TIERS are refused.
     """
-    tier = W.partitionBy(*keys, "tier")
-    room = candidates.filter("room > 0").select("*", F.sum("room").over(tier).alias("total"))
-    by_tier = room.groupBy(*keys, "tier").agg(F.first("total").alias("t"))
-    before = by_tier.withColumn("before", F.coalesce(F.sum("t").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("tier").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    left = room.join(F.broadcast(before.drop("t")), [*keys, "tier"]).withColumn("left", F.greatest(F.lit(amount) - F.col("before"), F.lit(0.0)))
-    up = tier.orderBy("room", "symbol")
-    s = left.select("*", F.coalesce(F.sum("room").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("below"), F.row_number().over(up).alias("k"), F.count("*").over(tier).alias("n"))
-    at = s.withColumn("level_here", (F.col("left") - F.col("below")) / (F.col("n") - F.col("k") + 1))
-    level = F.min(F.when(F.col("level_here") <= F.col("room"), F.struct("k", "level_here"))).over(tier)["level_here"]
-    return at.withColumn("level", level).withColumn("take", F.when(F.col("left") >= F.col("total"), F.col("room")).otherwise(F.least("room", "level"))).drop("total", "before", "below", "k", "n", "level_here", "level", "left")
+    room = candidates.filter("room > 0")
+    tiers = room.groupBy("tier").agg(F.sum("room").alias("total"), F.count("*").alias("n")).orderBy("tier").limit(MAX_TIERS + 1).collect()
+    if len(tiers) > MAX_TIERS:
+        raise ValueError(f"more than {MAX_TIERS} tiers")
+    left, levels, rest = {}, {}, amount
+    for t in tiers:
+        left[t.tier] = max(rest, 0.0)
+        rest -= t.total
+        levels[t.tier] = float("inf") if left[t.tier] >= t.total else left[t.tier] / t.n
+    open_ = {k for k, v in levels.items() if v != float("inf")}
+    while open_:
+        at = F.element_at(F.create_map(*[F.lit(x) for k in sorted(open_) for x in (k, levels[k])]), F.col("tier"))
+        sums = room.filter(F.col("tier").isin(sorted(open_))).groupBy("tier").agg(F.coalesce(F.sum(F.when(F.col("room") <= at, F.col("room"))), F.lit(0.0)).alias("low"), F.count_if(F.col("room") > at).alias("high")).collect()
+        for s in sums:
+            new = (left[s.tier] - s.low) / s.high if s.high else levels[s.tier]
+            if new <= levels[s.tier] * (1 + 1e-15):
+                open_.discard(s.tier)
+            levels[s.tier] = max(new, levels[s.tier])
+    if not levels:
+        return room.withColumn("take", F.lit(0.0))
+    level = F.element_at(F.create_map(*[F.lit(x) for k, v in levels.items() for x in (k, v)]), F.col("tier"))
+    return room.withColumn("take", F.least("room", level))
+
 
 
 def share_of(part: DataFrame, whole: DataFrame, high: float = 0.25) -> DataFrame:

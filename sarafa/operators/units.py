@@ -66,11 +66,11 @@ def _plain(c: Column) -> Column:
 
 
 def _scale_of(text: Column) -> Column:
-    """The scale word's name in a text, NULL where it has none."""
-    out = F.lit(None).cast("string")
-    for name, (_, words) in reversed(SCALE_WORDS.items()):
-        out = F.when(text.rlike(_word([w for w in words if w not in RUPEE_MARKS])), F.lit(name)).otherwise(out)
-    return out
+    """The name of the first scale word in a text, NULL where it has none; one search, then a look-up."""
+    words = {w: name for name, (_, ws) in SCALE_WORDS.items() for w in ws if w not in RUPEE_MARKS}
+    found = F.regexp_replace(F.regexp_extract(text, "(" + _word(words) + ")", 1), r"\s+", "")
+    names = F.create_map(*[F.lit(x) for w, name in words.items() for x in (w.replace(" ", ""), name)])
+    return F.try_element_at(names, found)
 
 
 def _unit_of(text: Column, signs_only: bool) -> Column:
@@ -87,8 +87,8 @@ def _unit_of(text: Column, signs_only: bool) -> Column:
 def _other_word(text: Column) -> Column:
     """The first word that is neither a filler nor a known notation: a notation still to be learnt."""
     known = {w for _, ws in SCALE_WORDS.values() for w in ws} | set(RUPEE_MARKS + FOREIGN_MARKS + PERCENT_MARKS + BPS_MARKS + MULTIPLE_MARKS) | set(FILLERS)
-    words = F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}]+"), 0), lambda w: ~w.isin(sorted(x for k in known for x in k.split())))
-    return F.get(words, F.lit(0))
+    listed = sorted({x for k in known for x in k.split()})
+    return F.get(F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}]+"), 0), lambda w: ~w.isin(listed)), F.lit(0))
 
 
 def parse(records: DataFrame, id_column: str = "record_id") -> DataFrame:
