@@ -67,6 +67,11 @@ def slips(a: str, b: str, most: int = 1) -> int:
     return min(last[-1], most + 1)
 
 
+def _without_one(word: str) -> set[str]:
+    """The word, and all that remains of it without one letter."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def alike(typed: str, word: str) -> float:
     """How well a typed word stands for a word of an entry: 1 equal, 0 not at all."""
     if typed == word or SHORT_FORMS.get(typed) == word:
@@ -122,12 +127,13 @@ class Matcher:
             self.automaton.add_word(f" {text} ", text)
         if self.by_name:
             self.automaton.make_automaton()
-        self.word_entries: dict[str, set[str]] = defaultdict(set)
-        for name, forms in self.entry_words.items():
-            for form in forms:
-                for w in form:
-                    self.word_entries[w].add(name)
-        self.names = sorted((t, n) for t, n in self.by_name.items() if len(n) == 1 and " " not in t and len(t) >= 4)
+        self.longest = max(map(len, self.by_name), default=0)
+        # Two words one slip apart agree after at most one letter is left out of each.
+        self.less_one: dict[str, set[str]] = defaultdict(set)
+        for t, n in self.by_name.items():
+            if len(n) == 1 and " " not in t and len(t) >= 4 and not t.isdigit():
+                for v in _without_one(t):
+                    self.less_one[v].add(t)
 
     def match(self, value: str) -> str:
         """The entry a non-blank value means, or UNMATCHED."""
@@ -172,7 +178,8 @@ class Matcher:
         text = "".join(kept)
         if len(text) < 5 or text.isdigit():
             return None
-        near = {next(iter(n)) for t, n in self.names if abs(len(t) - len(text)) <= 1 and not t.isdigit() and slips(text, t) <= 1}
+        close = set().union(*(self.less_one.get(v, ()) for v in _without_one(text))) if len(text) <= self.longest + 1 else set()
+        near = {next(iter(self.by_name[t])) for t in close if slips(text, t) <= 1}
         return next(iter(near)) if len(near) == 1 else None
 
     def _similar(self, words: list[str]) -> str | None:
