@@ -46,15 +46,15 @@ def missing(lots: DataFrame, prices: DataFrame) -> DataFrame:
 def positions(lots: DataFrame, prices: DataFrame) -> DataFrame:
     """Priced positions with invested, value, pnl, pnl_pct and weight.
 
-    The total is a one-row aggregate joined back, so no window gathers all positions in one task.
+    The total is a scalar subquery, so no window gathers all positions in one task.
     """
     p = priced(lots, prices).filter("price IS NOT NULL")
     p = p.select("*", (F.col("quantity") * F.col("avg_cost")).alias("invested"), (F.col("quantity") * F.col("price")).alias("value"))
-    total = p.agg(F.sum("value").alias("total"))
+    total = p.agg(F.sum("value").alias("total")).scalar()
     pnl = F.col("value") - F.col("invested")
     gain = F.when(F.col("invested") != 0, pnl / F.col("invested") * 100)
-    weight = F.coalesce(F.try_divide("value", "total"), F.lit(0.0))
-    return p.join(F.broadcast(total)).select("symbol", "sector", "quantity", "avg_cost", "price", "invested", "value", pnl.alias("pnl"), gain.alias("pnl_pct"), weight.alias("weight"), "ord")
+    weight = F.coalesce(F.try_divide(F.col("value"), total), F.lit(0.0))
+    return p.select("symbol", "sector", "quantity", "avg_cost", "price", "invested", "value", pnl.alias("pnl"), gain.alias("pnl_pct"), weight.alias("weight"), "ord")
 
 
 def summary(pos: DataFrame) -> DataFrame:
@@ -115,9 +115,9 @@ def portfolio_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
     Weights (symbol, weight) are renormalised over the symbols that have prices; no row if they sum to nothing.
     """
     has = weights.join(rets.select("symbol").distinct(), "symbol", "left_semi")
-    total = has.agg(F.sum("weight").alias("total"), F.count("*").alias("n_symbols"))
+    total = has.agg(F.struct(F.sum("weight").alias("weight"), F.count("*").alias("n")).alias("total")).scalar()
     day = rets.join(has, "symbol").groupBy("date").agg(F.sum(F.col("ret") * F.col("weight")).alias("sum"), F.count("*").alias("k"))
-    return day.join(F.broadcast(total)).filter("k = n_symbols AND total <> 0").select("date", (F.col("sum") / F.col("total")).alias("ret"))
+    return day.withColumn("total", total).filter("k = total.n AND total.weight <> 0").select("date", (F.col("sum") / F.col("total.weight")).alias("ret"))
 
 
 def cagr_by_date(prices: DataFrame) -> DataFrame:

@@ -36,12 +36,12 @@ def corpus(chunks: DataFrame, text_column: str = "text") -> DataFrame:
 def tfidf(chunks: DataFrame, queries: DataFrame, id_column: str = "chunk_id") -> DataFrame:
     """(query_id, id, cosine) of the pairs that share a term."""
     post = postings(chunks, id_column)
-    stats = F.broadcast(corpus(chunks))
+    n_docs = corpus(chunks).select("n_docs").scalar()
     weigh = F.log((1 + F.col("n_docs")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    idf = document_frequency(post).join(stats).select("term", weigh.alias("idf"))
+    idf = document_frequency(post).withColumn("n_docs", n_docs).select("term", weigh.alias("idf"))
     doc = post.join(idf, "term").select("id", "term", (F.col("n") / F.col("len") * F.col("idf")).alias("w"))
     norm = doc.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = postings(queries, "query_id").withColumnRenamed("id", "query_id").join(document_frequency(post), "term", "left").join(stats)
+    q = postings(queries, "query_id").withColumnRenamed("id", "query_id").join(document_frequency(post), "term", "left").withColumn("n_docs", n_docs)
     qw = q.select("query_id", "term", (F.col("n") / F.col("len") * weigh).alias("qw"))
     qn = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     dot = doc.join(qw, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
@@ -51,9 +51,9 @@ def tfidf(chunks: DataFrame, queries: DataFrame, id_column: str = "chunk_id") ->
 def bm25(chunks: DataFrame, queries: DataFrame, id_column: str = "chunk_id") -> DataFrame:
     """(query_id, id, bm25) of the pairs that share a term; a query's terms count once."""
     post = postings(chunks, id_column)
-    stats = F.broadcast(corpus(chunks))
+    stats = corpus(chunks).select(F.struct("n_docs", "avg_len")).scalar()
     q = postings(queries, "query_id").select(F.col("id").alias("query_id"), "term")
-    idf = document_frequency(post).join(stats).select("term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
+    idf = document_frequency(post).withColumn("c", stats).select("term", F.log(1 + (F.col("c.n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "c.avg_len")
     hit = post.join(q, "term").join(idf, "term")
     score = F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hit.groupBy("query_id", "id").agg(F.sum(score).alias("bm25"))
