@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.functions.rows import keep
+
 # ---- fixed values: the form of a line and of a number ----
 FIELDS = 4
 #: A row without quoting faults, with any number of fields.
@@ -150,9 +152,9 @@ def parse(lines: DataFrame) -> DataFrame:
 
 def rejected(lines: DataFrame) -> DataFrame:
     """(line_id, reason) of the lines that are no valid holding."""
-    return parse(lines).filter("reason IS NOT NULL").select("line_id", "reason")
+    return keep(parse(lines).select("line_id", "reason"), lambda r: r["reason"].isNotNull())
 
 
 def loaded(lines: DataFrame) -> DataFrame:
     """(line_id, symbol, quantity, avg_cost, sector) of the lines that are."""
-    return parse(lines).filter("reason IS NULL").drop("reason", "edits")
+    return keep(parse(lines).drop("edits"), lambda r: r["reason"].isNull()).drop("reason")

@@ -17,6 +17,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.functions.rows import keep
+
 # ---- fixed values: the meaning of notations, as factor to the kind's common unit ----
 MONEY, RATE, MULTIPLE = "money", "rate", "multiple"
 #: Scale words, in whole rupees. Longest meaning first where one word contains another.
@@ -59,10 +61,14 @@ def _word(words) -> str:
 
 
 def _plain(c: Column) -> Column:
-    """Lower case, every kind of space as a blank, thousands written '000 as a word, fiscal years removed."""
-    s = F.lower(F.regexp_replace(c, r"[\s    ​﻿]+", " "))
-    s = F.regexp_replace(s, r"['’`]\s?000s?", " thousand ")
-    return F.trim(F.regexp_replace(s, r"\(?\b(?:in )?fy\s?[0-9]{2,4}(?:\s?-\s?[0-9]{2,4})?\)?", " "))
+    """Lower case, every kind of space as a blank, thousands written '000 as a word, fiscal years removed.
+
+    The patterns are tried only on texts that hold their plain parts.
+    """
+    spaces = "\u00a0\u2007\u2009\u200a\u202f\u3000\t\n\r"
+    s = F.lower(F.translate(F.translate(c, spaces, " " * len(spaces)), "\u200b\ufeff", ""))
+    s = F.when(F.contains(s, F.lit("000")), F.regexp_replace(s, r"['\u2019`]\s?000s?", " thousand ")).otherwise(s)
+    return F.trim(F.when(F.contains(s, F.lit("fy")), F.regexp_replace(s, r"\(?\b(?:in )?fy\s?[0-9]{2,4}(?:\s?-\s?[0-9]{2,4})?\)?", " ")).otherwise(s))
 
 
 def _scale_of(text: Column) -> Column:
@@ -133,8 +139,8 @@ def parse(records: DataFrame, id_column: str = "record_id") -> DataFrame:
 
 def _fiscal_year(c: Column) -> Column:
     """FY19, FY2019 and 2018-19 as 2019; NULL where none is stated."""
-    tag = F.regexp_extract(F.upper(c.cast("string")), r"FY\s?([0-9]{4}|[0-9]{2})", 1)
-    span = F.regexp_extract(c.cast("string"), r"\b([0-9]{4})-([0-9]{2})\b", 1)
+    tag = F.when(F.contains(F.upper(c.cast("string")), F.lit("FY")), F.regexp_extract(F.upper(c.cast("string")), r"FY\s?([0-9]{4}|[0-9]{2})", 1))
+    span = F.when(F.contains(c.cast("string"), F.lit("-")), F.regexp_extract(c.cast("string"), r"\b([0-9]{4})-([0-9]{2})\b", 1))
     short = F.when(F.length(tag) == 4, tag.try_cast("int")).when(F.length(tag) == 2, tag.try_cast("int") + 2000)
     return F.coalesce(short, span.try_cast("int") + 1)
 
@@ -152,7 +158,7 @@ def links(parsed: DataFrame) -> DataFrame:
     notation, so a hot entity adds at most one link per pair of notations; the pairs therefore grow with
     the notations, never with the records.
     """
-    named = parsed.filter("number IS NOT NULL AND number <> 0 AND unit IS NOT NULL AND unit <> 'foreign' AND company IS NOT NULL AND fy IS NOT NULL")
+    named = keep(parsed, lambda r: r["number"].isNotNull() & (r["number"] != 0) & r["unit"].isNotNull() & (r["unit"] != "foreign") & r["company"].isNotNull() & r["fy"].isNotNull())
     note = F.concat_ws(":", "unit", "scale")
     level = named.withColumn("note", note).groupBy("figure", "company", "fy", "note").agg(F.percentile_approx(F.log10(F.abs(F.col("number").cast("double"))), 0.5, 1000).alias("lv"))
     a, b = level.alias("a"), level.alias("b")
@@ -212,7 +218,7 @@ def convert(records: DataFrame, id_column: str = "record_id", learn: bool = True
     worth = F.create_map(*[x for (unit, scale), (k, f) in table.items() for x in (F.lit(":".join(y for y in (unit, scale) if y)), F.struct(F.lit(k).alias("kind"), F.lit(f).cast("decimal(16,0)").alias("factor")))])
     noted = parsed.select(id_column, "number", F.try_element_at(worth, F.concat_ws(":", "unit", "scale")).alias("to"))
     amount = F.round(F.col("number") * F.col("to.factor"), 0).try_cast("bigint")
-    return noted.select(id_column, F.col("to.kind").alias("quantity_kind"), amount.alias("amount")).filter("quantity_kind IS NOT NULL AND amount IS NOT NULL")
+    return keep(noted.select(id_column, F.col("to.kind").alias("quantity_kind"), amount.alias("amount")), lambda r: r["quantity_kind"].isNotNull() & r["amount"].isNotNull())
 
 
 def conversions(records: DataFrame) -> DataFrame:
