@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.functions.rows import keep
 from sarafa.functions.strings import title_tokens
 
 # ---- fixed values ----
@@ -17,7 +18,7 @@ THRESHOLD, SHARED = 0.5, 2
 
 def similar_pairs(titles: DataFrame, block: list[str], threshold: float = THRESHOLD, shared: int = SHARED) -> DataFrame:
     """(block, id_a, id_b, n_shared, overlap) of the pairs in a block that share words enough: an inverted index on (block, word)."""
-    t = titles.select(*block, "id", title_tokens(F.col("title")).alias("tokens")).filter("size(tokens) > 0")
+    t = keep(titles.select(*block, "id", title_tokens(F.col("title")).alias("tokens")), lambda r: F.size(r["tokens"]) > 0)
     p = t.select(*block, "id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     a, b = p.withColumnsRenamed({"id": "id_a", "size": "size_a"}), p.withColumnsRenamed({"id": "id_b", "size": "size_b"})
     hit = a.join(b, [*block, "token"]).filter("id_a < id_b").groupBy(*block, "id_a", "id_b", "size_a", "size_b").agg(F.count("*").alias("n_shared"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.functions.rows import keep
+
 # ---- fixed values ----
 FACTORS = {"crore": 1e7, "lakh": 1e5, "million": 1e6, "none": 1.0}
 BLANKED = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9:]{8}Z?)?|(?i)\bFY\s?[0-9]{2,4}(?:\s?[-/]\s?[0-9]{2,4})?\b|\b(?:19|20)[0-9]{2}\s?[-/]\s?[0-9]{2,4}\b"
@@ -47,7 +49,7 @@ def extract(texts: DataFrame, id_column: str = "chunk_id", text_column: str = "t
     size = F.replace("num", F.lit(","), F.lit("")).try_cast("double")
     out = h.select("id", "pos", "raw", F.when(F.col("neg"), -size).otherwise(size).alias("value"), unit.alias("unit"), scale.alias("scale"), F.when(unit == "rupees", F.when(F.col("marked"), "INR").otherwise(F.col("money"))).alias("currency"))
     factor = F.create_map(*[F.lit(x) for kv in FACTORS.items() for x in kv])
-    return out.filter("unit IS NOT NULL AND value IS NOT NULL").withColumn("absolute", F.col("value") * F.element_at(factor, F.col("scale"))).filter(F.abs("absolute") < float("inf"))
+    return keep(out, lambda r: r["unit"].isNotNull() & r["value"].isNotNull()).withColumn("absolute", F.col("value") * F.element_at(factor, F.col("scale"))).filter(F.abs("absolute") < float("inf"))
 
 
 def grounded(extracted: DataFrame) -> DataFrame:

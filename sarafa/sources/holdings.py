@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sarafa.functions import money
+from sarafa.functions.rows import keep
 
 # ---- fixed values: header names per role, the most specific first ----
 SYMBOL = ("symbol", "ticker", "ticker symbol", "nse symbol", "nse code", "bse code", "yahoo symbol", "stock formula name", "formula name", "instrument", "scrip name", "scrip", "stock name", "stock", "company", "name")
@@ -37,7 +38,7 @@ def normalize(raw: DataFrame) -> DataFrame:
     order = F.col("ord").cast("bigint") if "ord" in raw.columns else F.monotonically_increasing_id()
     sector = F.coalesce(F.nullif(money.strip(quoted["sector"]), F.lit("")), F.lit("Unknown")) if "sector" in role else F.lit("Unknown")
     rows = raw.select(money.normalize_symbol(quoted["symbol"]).alias("symbol"), money.amount(quoted["quantity"]).alias("quantity"), money.amount(quoted["avg_cost"]).alias("avg_cost"), sector.alias("sector"), order.alias("ord"))
-    return rows.filter("symbol <> '' AND symbol <> 'NAN' AND quantity > 0 AND avg_cost >= 0")
+    return keep(rows, lambda r: (r["symbol"] != "") & (r["symbol"] != "NAN") & (r["quantity"] > 0) & (r["avg_cost"] >= 0))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
