@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.functions.rows import keep
 from sarafa.llm.canonical_values import slips
 from sarafa.llm.small_world import Shards, sketches
 
@@ -49,7 +50,7 @@ def items(events: DataFrame) -> DataFrame:
     """
     base = events.select("event_id", F.coalesce(F.col("batch_no"), F.lit(0)).alias("batch_no"), F.trim(F.regexp_replace(F.col("item_key").cast("string"), "%3[aA]", ":")).alias("key"), digest(F.col("content_hash")).alias("sha"))
     split = F.split(F.regexp_replace("key", KEY, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
-    parts = base.filter("sha IS NOT NULL AND length(key) > 0").select("event_id", "batch_no", "sha", split.alias("p"))
+    parts = keep(base, lambda r: r["sha"].isNotNull() & (F.length(r["key"]) > 0)).select("event_id", "batch_no", "sha", split.alias("p"))
     whole = F.size("p") == 4
     kind = F.regexp_replace(F.lower(F.get("p", F.lit(0))), "s+$", "")
     symbol = F.regexp_replace(F.upper(F.get("p", F.lit(1))), EXCHANGE, "")

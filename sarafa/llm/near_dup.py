@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sarafa.functions.rows import keep
 from sarafa.llm.lineage import cut
 
 #: Bands, minima in a band, and the exponent of the inverse document frequency.
@@ -190,7 +191,7 @@ class NearDuplicates:
 
     def __init__(self, records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6) -> None:
         self.id_column = id_column
-        sets = records.select(F.col(id_column).alias("id"), words(F.col(text_column)).alias("words")).filter("size(words) > 0")
+        sets = keep(records.select(F.col(id_column).alias("id"), words(F.col(text_column)).alias("words")), lambda r: F.size(r["words"]) > 0)
         self.members = sets.select("id", F.xxhash64("words").alias("key"))
         classes = cut(sets.select("id", "words", F.xxhash64("words").alias("key")).groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words"))
         counts, total = frequencies(classes)
