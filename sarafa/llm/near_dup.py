@@ -4,7 +4,7 @@ Each record's set of words gets many minima of universal hash functions, drawn s
 with a probability equal to their *weighted* Jaccard similarity: a word's hash is divided by its weight, which is a
 power of its inverse frequency. Titles made from one template share most of their words, but hardly any weight,
 so that plain minima would bring all pairs of a template together and weighted ones do not. Minima are taken in
-bands of two; sets that agree in a whole band are candidates, the agreement of all their minima is checked first,
+bands of two; sets that agree in a whole band are candidates, the agreement of the bands' first minima is checked first,
 the exact plain Jaccard similarity last. Links form groups by alternating large-star and small-star steps.
 
 Pairs that share no word but common ones would be found by chance only. For them alone there is an exact way: in the
@@ -29,7 +29,7 @@ from sarafa.functions.rows import keep
 from sarafa.llm.lineage import cut
 
 #: Bands, minima in a band, and the exponent of the inverse document frequency.
-BANDS, ROWS, POWER = 24, 2, 2.5
+BANDS, ROWS, POWER = 22, 2, 2.5
 #: A word that more than one class in so many has (and more classes than COMMON_LEAST) is common: it decides in a
 #: minimum only between sets that have nothing rarer. By chance such a word's hash can be least in all sets of a
 #: template, which would make one band of them all.
@@ -38,8 +38,8 @@ COMMON, COMMON_LEAST, FAINT = 500, 64, 1e-9
 SIZE_STEP = 1.1
 #: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus.
 SKETCH = 1 << 18
-#: Of BANDS * ROWS minima, those that must agree before a candidate's words are compared.
-AGREE = 3
+#: Of the first minima of all bands, those that must agree before a candidate's words are compared.
+AGREE = 2
 SEED = 20250701
 
 
@@ -126,7 +126,7 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
 def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
     """(rep, key, words, bands, sig, smaller, larger) of every class; weights: (weight, count, common) of each bucket, broadcast.
 
-    bands: hashes of the bands; sig: a byte of each minimum; smaller, larger: early keys of common words, as the
+    bands: hashes of the bands; sig: a byte of each band's first minimum; smaller, larger: early keys of common words, as the
     smaller or the larger set of a pair.
     """
 
@@ -138,7 +138,7 @@ def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
             flat, starts = _flat(batch.column(2))
             weight, count, common = (x[flat.astype(np.int64) % SKETCH] for x in weights.value)
             low = minima(flat, starts, weight).view(np.uint64)
-            small = ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+            small = ((low[:, ::ROWS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
             band = np.zeros((n, BANDS), np.uint64)
             for j in range(ROWS):
                 band = (band ^ low[:, j::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
