@@ -78,12 +78,13 @@ def cuts(strength: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> lis
     out, open_ = [], [(0, n)]
     while open_:
         a, b = open_.pop()
-        if b - a <= (limit if a == 0 and b == n else fits):
+        if b - a <= (max(fits, overlap) if a == 0 else fits):
             continue
         middle = (a + b) / 2
         for window in WINDOWS:
             reach = max(1.0, (b - a) * window / 2)
-            lo, hi = max(a + 1, overlap, int(middle - reach)), min(b - 1, int(middle + reach))
+            lo = max(a + 1, overlap, int(middle - reach))
+            hi = max(lo, min(b - 1, int(middle + reach)))
             best = max(range(lo, hi + 1), key=lambda i: (strength[i], -abs(i - middle)))
             if strength[best] >= SENTENCE:
                 break

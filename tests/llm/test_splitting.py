@@ -14,7 +14,7 @@ def whole(text, parts, limit, overlap):
         w = piece.split()
         assert len(w) == n + lead <= limit and w[lead:] == words[a : a + n]
         if k:
-            assert lead == overlap and w[:overlap] == parts[k - 1][3].split()[-overlap:]
+            assert lead == overlap and w[:overlap] == (parts[k - 1][3].split()[-overlap:] if overlap else [])
         got += w[lead:]
     assert got == words
 
