@@ -63,6 +63,11 @@ def properties() -> tuple[dict[str, str], re.Pattern, re.Pattern]:
             unstable.add(cp)
     unstable |= set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # jamo that compose
     to |= PLAIN | LOOKALIKES
+    # A letter with marks on a look-alike is the Latin letter with these marks, composed or not.
+    for cp in range(0x370, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and parts[0] in LOOKALIKES:
+            to[chr(cp)] = unicodedata.normalize("NFC", LOOKALIKES[parts[0]] + parts[1:])
     to |= {chr(cp): " " for a, b in SPACES for cp in range(a, b + 1)}
     to |= {chr(cp): "" for a, b in INVISIBLE for cp in range(a, b + 1)}
     unstable |= set(map(ord, to))

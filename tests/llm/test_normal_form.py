@@ -9,7 +9,7 @@ from sarafa.llm.normal_form import canonical, normal_forms, same_look_pairs
 
 SAME = [
     ("café", "café"), ("Rs 276", "Ｒｓ ２７６"), ("office", "oﬃce"), ("profit", "pro­fit"), ("bank", "﻿b​an⁠k‎"), ("1,234", "1，234"), ("a b", "a b"), ("a b", "a b"),
-    ("SCOPE", "ЅСОРЕ"), ("ड़", "ड़"), ("Wait...", "Wait…"), ("re-do", "re‑do"), ("ệ", "ệ"), ("ệ", "ệ"), ("q̣̇", "q̣̇"), ("가", "가"), ("x́y", "x​́y"),
+    ("SCOPE", "ЅСОРЕ"), ("ड़", "ड़"), ("Wait...", "Wait…"), ("re-do", "re‑do"), ("ệ", "ệ"), ("ệ", "ệ"), ("q̣̇", "q̣̇"), ("가", "가"), ("x́y", "x​́y"), ("\u03cc", "\u03bf\u0301"), ("\u03cc", "ó"), ("\u0451", "ë"),
 ]
 DIFFERENT = [("a", "A"), ("cafe", "café"), ("10", "100"), ("m2", "m²"), ("a b", "a  b"), ("a b", "ab"), ("½", "1/2"), ("ж", "x"), ("👩‍💻", "👩💻"), ("a\nb", "a b"), ("a-b", "ab")]
 
@@ -39,6 +39,19 @@ def test_segments_give_what_the_whole_text_would(text):
         assert once == unicodedata.normalize("NFC", whole)
 
 
+def test_canonical_equivalents_have_one_form():
+    """Texts over many blocks: composed or decomposed, the form is the same and stable."""
+    import random
+
+    rng = random.Random(5)
+    blocks = ((0x20, 0x250), (0x300, 0x370), (0x391, 0x3FF), (0x400, 0x460), (0x900, 0x970), (0x1100, 0x1200), (0x1E00, 0x2000), (0xAC00, 0xAC40), (0xF900, 0xFA10), (0xFF00, 0xFFEF))
+    letters = [chr(c) for a, b in blocks for c in range(a, b)]
+    for _ in range(8000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+        form = canonical(text)
+        assert {canonical(unicodedata.normalize(f, text)) for f in ("NFC", "NFD")} == {form} == {canonical(form)}
+
+
 def test_forms_of_null_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "​" * 50_000 + "x")], "doc_id int, text string").selectExpr("*", "'y' AS form")
     assert {r.id: r.form for r in normal_forms(df).collect()} == {1: None, 2: "", 3: "x"}
