@@ -7,9 +7,10 @@ so that plain minima would bring all pairs of a template together and weighted o
 bands of two; sets that agree in a whole band are candidates, the agreement of the bands' first minima is checked first,
 the exact plain Jaccard similarity last. Links form groups by alternating large-star and small-star steps.
 
-Pairs that share no word but common ones would be found by chance only. For them alone there is an exact way: in the
-order of rarity, two similar sets must share a word that stands early enough in both, so common words that stand
-early in a set become keys, together with the sizes of the two sets, and sets that agree in a key are candidates.
+Bands find a pair by chance, and pairs whose weight sits in misspelt or changed names are easily missed. So there is an
+exact way beside them for all pairs: in the order of rarity, two similar sets must share a word that stands early
+enough in both, so the words that stand early in a set become keys, and sets that agree in a key are candidates. A rare
+word is a key by itself, any other one together with the sizes of the two sets.
 
 Records with equal word sets are one class throughout: they are hashed once, and no pair is made among them unless
 pairs of records are asked for. Word frequencies come from a counting sketch over all classes, whose size is fixed;
@@ -29,12 +30,14 @@ from sarafa.functions.rows import keep
 from sarafa.llm.lineage import cut
 
 #: Bands, minima in a band, and the exponent of the inverse document frequency.
-BANDS, ROWS, POWER = 22, 2, 2.5
+BANDS, ROWS, POWER = 24, 2, 2.5
 #: A word that more than one class in so many has (and more classes than COMMON_LEAST) is common: it decides in a
 #: minimum only between sets that have nothing rarer. By chance such a word's hash can be least in all sets of a
 #: template, which would make one band of them all.
 COMMON, COMMON_LEAST, FAINT = 500, 64, 1e-9
-#: Sizes of sets are told apart up to this ratio in the keys of common words.
+#: A word that no more classes have than this is rare: as a key it needs no sizes, for so few sets can agree in it.
+RARE = 64
+#: Sizes of sets are told apart up to this ratio in the keys of words that are not rare.
 SIZE_STEP = 1.1
 #: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus.
 SKETCH = 1 << 18
@@ -84,6 +87,26 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
 
 
+def _ranks(flat: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, size of the set, words before it in the order of rarity) of each word."""
+    size = np.diff(np.append(starts, len(flat)))
+    owner = np.repeat(np.arange(len(starts)), size)
+    order = np.lexsort((flat, count, owner))
+    rank = np.empty(len(flat), np.int64)
+    rank[order] = np.arange(len(flat)) - np.repeat(starts, size)
+    return owner, size[owner], rank
+
+
+def rare_keys(flat: np.ndarray, starts: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) for the rare words that stand early enough for any partner's size; 32 bits, the last one 0.
+
+    Counts are never too low, so a word counted once is in no other set and needs no key.
+    """
+    owner, a, rank = _ranks(flat, starts, count)
+    keep = np.flatnonzero((count > 1) & (count <= RARE) & (a - rank >= threshold * a - 1e-9))
+    return owner[keep], (_mix(flat[keep]) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
+
+
 def early_keys(flat: np.ndarray, starts: np.ndarray, count: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, key, side) for the common words that stand early enough: side -1 for a set that is the smaller of its pair, 1 for the larger, 0 for both.
 
@@ -92,12 +115,7 @@ def early_keys(flat: np.ndarray, starts: np.ndarray, count: np.ndarray, common:
     min(a - i, b - j) are shared. So a word with i before it can be the first shared one only with sets of sizes
     b <= (a - i) / k - a. Sizes are in steps of SIZE_STEP, rounded so that no pair is lost.
     """
-    size = np.diff(np.append(starts, len(flat)))
-    owner = np.repeat(np.arange(len(starts)), size)
-    order = np.lexsort((flat, count, owner))
-    rank = np.empty(len(flat), np.int64)
-    rank[order] = np.arange(len(flat)) - np.repeat(starts, size)
-    a = size[owner]
+    owner, a, rank = _ranks(flat, starts, count)
     keep = np.flatnonzero(common & (a - rank >= threshold * a - 1e-9))
     a, i, w, own = a[keep].astype(float), rank[keep], flat[keep], owner[keep]
     log = np.log(SIZE_STEP)
@@ -124,10 +142,10 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
 
 
 def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
-    """(rep, key, words, bands, sig, smaller, larger) of every class; weights: (weight, count, common) of each bucket, broadcast.
+    """(rep, key, words, bands, sig, smaller, larger) of every class; weights: (weight, count) of each bucket, broadcast.
 
-    bands: hashes of the bands; sig: a byte of each band's first minimum; smaller, larger: early keys of common words, as the
-    smaller or the larger set of a pair.
+    bands: hashes of the bands, odd, and early keys of rare words, even; sig: a byte of each band's first minimum;
+    smaller, larger: early keys of the other words, as the smaller or the larger set of a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +154,7 @@ def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
             if not n:
                 continue
             flat, starts = _flat(batch.column(2))
-            weight, count, common = (x[flat.astype(np.int64) % SKETCH] for x in weights.value)
+            weight, count = (x[flat.astype(np.int64) % SKETCH] for x in weights.value)
             low = minima(flat, starts, weight).view(np.uint64)
             small = ((low[:, ::ROWS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
             band = np.zeros((n, BANDS), np.uint64)
@@ -144,10 +162,11 @@ def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
                 band = (band ^ low[:, j::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
                 band ^= band >> np.uint64(32)
             band = ((band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS), pa.int32()), pa.array(band.astype(np.uint32).view(np.int32).ravel()))
+            rare, word = rare_keys(flat, starts, count, threshold)
+            lists = _lists(np.concatenate([np.repeat(np.arange(n), BANDS), rare]), np.concatenate([band.astype(np.uint32).ravel() | np.uint32(1), word]).view(np.int32), n, pa.int32())
             width = small.shape[1]
             sig = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, small.size + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(small))])
-            own, key, side = early_keys(flat, starts, count, common, threshold)
+            own, key, side = early_keys(flat, starts, count, count > RARE, threshold)
             sides = [_lists(own[keep], key[keep], n, pa.int64()) for keep in (side <= 0, side >= 0)]
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, sig, *sides], names=["rep", "key", "words", "bands", "sig", "smaller", "larger"])
 
@@ -158,7 +177,7 @@ def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key_a, key_b, words_a, words_b, sig_a, sig_b, agree) -> (key_a, key_b) of the pairs at least as similar.
 
-        agree: how many minima must agree before the words are compared; none for candidates by common words.
+        agree: how many minima must agree before the words are compared; none for candidates by early keys.
         """
         for batch in batches:
             if batch.num_rows:
@@ -197,10 +216,10 @@ class NearDuplicates:
         counts, total = frequencies(classes)
         common = (counts * COMMON > total) & (counts > COMMON_LEAST)
         weight = np.log1p(total / counts) ** POWER * np.where(common, FAINT, 1.0)
-        signed = signatures(classes, records.sparkSession.sparkContext.broadcast((weight, counts, common)), threshold)
+        signed = signatures(classes, records.sparkSession.sparkContext.broadcast((weight, counts)), threshold)
         band = signed.select("rep", F.explode("bands").alias("band"))
         a, b = band.alias("a"), band.alias("b")
-        chance = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.lit(AGREE).alias("agree"))
+        chance = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.when(F.col("a.band") % 2 == 0, 0).otherwise(AGREE).alias("agree"))
         s, l = signed.select("rep", F.explode("smaller").alias("k")).alias("s"), signed.select("rep", F.explode("larger").alias("k")).alias("l")
         sure = s.join(l.hint("merge"), (F.col("s.k") == F.col("l.k")) & (F.col("s.rep") != F.col("l.rep"))).select(F.least("s.rep", "l.rep").alias("rep_a"), F.greatest("s.rep", "l.rep").alias("rep_b"), F.lit(0).alias("agree"))
         # Sent by rep_a, candidates are counted once and are where the verification's first join wants them.

@@ -119,3 +119,33 @@ def test_early_keys_lose_no_pair(threshold):
         n = len(np.intersect1d(sets[i], sets[j]))
         if n >= threshold * (len(sets[i]) + len(sets[j]) - n):
             assert (i, j) in got
+
+
+def test_pairs_of_uncommon_words_beside_changed_names(spark):
+    """Six words that forty records have and two of each record's own: nearly all weight differs, and no link depends on chance."""
+    titles = [" ".join([f"story{i % 12}word{k}" for k in range(6)] + [f"own{i}x", f"own{i}y"]) for i in range(480)]
+    got = {tuple(r) for r in N.NearDuplicates(table(spark, titles), "event_id", "title").pairs().collect()}
+    assert got == brute(titles) and len(got) == 12 * 40 * 39 // 2
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_rare_and_sized_keys_lose_no_pair(threshold, monkeypatch):
+    """With words on both sides of RARE in one set."""
+    monkeypatch.setattr(N, "RARE", 12)
+    rng = np.random.default_rng(11)
+    sets = [np.unique(np.minimum(rng.geometric(0.08, rng.integers(1, 13)), 60)).astype(np.int32) for _ in range(200)]
+    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    count = np.bincount(flat)[flat]
+    assert {bool(c) for c in count > N.RARE} == {True, False}
+    small: dict = {}
+    for o, k in zip(*N.rare_keys(flat, starts, count, threshold)):
+        assert k % 2 == 0
+        [x.append(o) for x in small.setdefault(("rare", k), ([], []))]
+    for o, k, s in zip(*N.early_keys(flat, starts, count, count > N.RARE, threshold)):
+        small.setdefault(k, ([], []))[0].extend([o] if s <= 0 else [])
+        small[k][1].extend([o] if s >= 0 else [])
+    got = {tuple(sorted((x, y))) for a, b in small.values() for x in a for y in b}
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        n = len(np.intersect1d(sets[i], sets[j]))
+        if n >= threshold * (len(sets[i]) + len(sets[j]) - n):
+            assert (i, j) in got
