@@ -149,3 +149,15 @@ def test_rare_and_sized_keys_lose_no_pair(threshold, monkeypatch):
         n = len(np.intersect1d(sets[i], sets[j]))
         if n >= threshold * (len(sets[i]) + len(sets[j]) - n):
             assert (i, j) in got
+
+
+def test_no_pair_is_lost(spark):
+    titles = corpus(700) + [None, "", "Same words here", "here words SAME"]
+    assert {tuple(r) for r in N.NearDuplicates(table(spark, titles), "event_id", "title").pairs().collect()} == brute(titles)
+
+
+def test_no_pair_of_the_corpus_is_lost(tables):
+    e = tables("ingestion_events")
+    rows = [(r.event_id, r.title) for r in e.select("event_id", "title").collect()]
+    want = {tuple(sorted((rows[i][0], rows[j][0]))) for i, j in brute([t for _, t in rows])}
+    assert {tuple(r) for r in N.NearDuplicates(e, "event_id", "title").pairs().collect()} == want
