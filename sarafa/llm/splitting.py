@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 120, 20
-#: Parts of a stretch around its middle that are searched in turn until one holds a natural boundary.
-WINDOWS = (0.5, 0.8)
+#: Parts of a stretch around its middle that are searched in turn until one holds a natural boundary. In the last one, the
+#: whole stretch, nothing weaker counts: without any natural boundary the cut stays near the middle.
+WINDOWS = (0.5, 0.8, 1.0)
 
 # ---- fixed values ----
 BLANK_LINE, ROW, SENTENCE, LINE, CLAUSE, SPACE = 5, 4, 3, 2, 1, 0
@@ -85,8 +86,10 @@ def cuts(strength: list[int], limit: int = LIMIT, overlap: int = OVERLAP) -> lis
             reach = max(1.0, (b - a) * window / 2)
             lo = max(a + 1, overlap, int(middle - reach))
             hi = max(lo, min(b - 1, int(middle + reach)))
-            best = max(range(lo, hi + 1), key=lambda i: (strength[i], -abs(i - middle)))
-            if strength[best] >= SENTENCE:
+            at = max(range(lo, hi + 1), key=lambda i: (strength[i], -abs(i - middle)))
+            if window < 1 or strength[at] >= SENTENCE:
+                best = at
+            if strength[at] >= SENTENCE:
                 break
         out.append(best)
         open_ += [(a, best), (best, b)]

@@ -37,6 +37,14 @@ def test_cuts_at_the_strongest_boundary_near_the_middle():
     assert all(p[3].endswith("\n") for p in S.split(table, "table")[:-1])
 
 
+def test_cuts_at_the_only_sentence_end_of_a_stretch_wherever_it_is():
+    strength = [S.SPACE] * 205
+    strength[100], strength[107] = S.BLANK_LINE, S.SENTENCE
+    assert S.cuts(strength) == [100, 107]
+    strength[107], strength[150] = S.LINE, S.CLAUSE
+    assert S.cuts(strength) == [100, 150]
+
+
 def test_layout_from_section_and_lines():
     assert S.layout(None, "Balance sheet", "a\t1\nb\t2\nplain") == "table"
     assert S.layout(" Table ", None, "") == "table" and S.layout("para", "Balance sheet", "a\t1") == "prose"
