@@ -30,6 +30,16 @@ def test_texts_and_columns(spark, rows):
         (16, 9.0, "Rs. 32646329 k", None, None, None, ("money", 3_264_632_900_000)),
         (17, 9.0, "about 12 per cent", "bps", None, None, ("rate", 1200)),
         (18, 9.0, "0.0015", "%", None, None, ("rate", 0)),
+        (19, 9.0, "Rs.19,477 L", None, None, None, ("money", 19_477 * 10**7)),
+        (20, 9.0, "Rs.1,979,589,347", None, None, None, ("money", 197_958_934_700)),
+        (21, 9.0, "-Rs.47 cr", None, None, None, ("money", -47 * 10**9)),
+        (22, 9.0, "(Rs.5)", None, None, None, ("money", -500)),
+        (23, 9.0, "₹.5 cr", None, None, None, ("money", 5 * 10**8)),
+        (24, 9.0, "rs.5/-", None, None, None, ("money", 500)),
+        (25, 9.0, "INR5", None, None, None, ("money", 500)),
+        (26, 9.0, "₹5", None, None, None, ("money", 500)),
+        (27, 9.0, "Rs5lakh", None, None, None, ("money", 5 * 10**7)),
+        (28, 9.0, ".5%", None, None, None, ("rate", 50)),
     ]
     cases[11] = (*cases[11][:6], ("money", -14_000_000_000 * 100 * 10 // 10))
     got = {r[0]: (r[1], r[2]) for r in rows(units.convert(table(spark, *[c[:6] for c in cases]), learn=False))}
@@ -46,14 +56,45 @@ def test_repeated_rows_each_count(spark):
     assert units.convert(table(spark, (1, None, "5%", None, None, None), (1, None, "5%", None, None, None))).count() == 2
 
 
+def figures(n, *ways):
+    """ways: (source, raw text of the i-th figure in crores + .5, unit, scale)."""
+    return [(len(ways) * i + k, "revenue", None, raw(round(1.5 + 0.37 * i, 2)), unit, scale, "INR", f"FY{2000 + i % 20}", f"C{i // 20}", source, None, "") for i in range(n) for k, (source, raw, unit, scale) in enumerate(ways)]
+
+
 def test_graph_learns_an_unknown_word(spark):
-    """A word no lexicon has takes its worth from records of the same figures in crores."""
-    rows = []
-    for i in range(12):
-        for k, (raw, unit, scale) in enumerate(((f"{i + 1}.5 crore", None, None), (f"{(i + 1.5) * 100:g}", "rupees", "padma"))):
-            rows.append((2 * i + k, "revenue", None, raw, unit, scale, "INR", f"FY{2000 + i}", "A", "d", None, ""))
-    got = {r.record_id: r.amount for r in units.convert(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got[0] == got[1] == 1_500_000_000 and len(got) == 24
+    """A word no lexicon has takes its worth from other sources' records of the same figures."""
+    table = spark.createDataFrame(figures(12, ("d", lambda x: f"{x} crore", None, None), ("e", lambda x: f"{x * 100:.1f}", "rupees", "padma")), SCHEMA)
+    got = {r.record_id: r.amount for r in units.convert(table).collect()}
+    assert got[0] == got[1] == 1_500_000_000 and got[2] == got[3] == 1_870_000_000 and len(got) == 24
+    assert units.convert(table, learn=False).count() == 12
+
+
+def test_one_source_alone_links_nothing(spark):
+    table = spark.createDataFrame(figures(12, ("d", lambda x: f"{x} crore", None, None), ("d", lambda x: f"{x * 100:.1f}", "rupees", "padma")), SCHEMA)
+    assert units.convert(table).count() == 12
+
+
+def test_graph_shifts_a_mislabelled_source(spark):
+    """A source that says lakh where all others' figures are crores is put right, and only that source."""
+    lakh = lambda x: f"{x * 100:.1f} lakh"
+    ways = [("d", lambda x: f"{x} crore", None, None), ("e", lakh, None, None), ("g", lakh, None, None), ("h", lambda x: f"{x * 10:.2f} million", None, None), ("f", lambda x: f"{x} lakh", None, None)]
+    table = spark.createDataFrame(figures(40, *ways), SCHEMA)
+    got = {r.record_id: r.amount for r in units.convert(table).collect()}
+    assert all(len({got[5 * i + k] for k in range(5)}) == 1 for i in range(40))
+    plain = {r.record_id: r.amount for r in units.convert(table, learn=False).collect()}
+    assert plain[4] * 100 == got[4] and all(plain[k] == got[k] for k in range(4))
+    assert {(r.source, r.note): r["shift"] for r in units.source_shifts(table).collect() if r["shift"]} == {("f", "rupee:lakh"): 2.0}
+
+
+def test_weak_evidence_shifts_nothing(spark):
+    ways = [("d", lambda x: f"{x} crore", None, None), ("e", lambda x: f"{x * 100:.1f} lakh", None, None), ("f", lambda x: f"{x} lakh", None, None)]
+    table = spark.createDataFrame(figures(9, *ways), SCHEMA)
+    assert sorted(units.convert(table).collect()) == sorted(units.convert(table, learn=False).collect())
+
+
+def test_a_unit_without_scale_is_no_case_even_with_links(spark):
+    table = spark.createDataFrame(figures(40, ("d", lambda x: f"{x} crore", None, None), ("e", lambda x: f"{x}", "rupees", None)), SCHEMA)
+    assert units.convert(table).count() == 40
 
 
 def test_spread_follows_support_and_keeps_anchors():
@@ -62,6 +103,13 @@ def test_spread_follows_support_and_keeps_anchors():
 
 
 def test_conversions_agree_with_the_lexicon(spark):
-    rows = [(2 * i + k, "revenue", None, raw, None, None, "INR", f"FY{2000 + i}", "A", "d", None, "") for i in range(6) for k, raw in enumerate((f"{i + 1} crore", f"{(i + 1) * 100} lakh"))]
-    edge = units.conversions(spark.createDataFrame(rows, SCHEMA)).first()
+    ways = [("d", lambda x: f"{x} crore", None, None), ("e", lambda x: f"{x * 100:.1f} lakh", None, None)]
+    edge = units.conversions(spark.createDataFrame(figures(6, *ways), SCHEMA)).first()
     assert (edge.a, edge.b, edge.n_links, edge.log10_scale, edge.expected_log10) == ("rupee:crore", "rupee:lakh", 6, -2.0, -2.0)
+    assert edge.share == 1.0 and abs(edge.offset_part) < 1e-9
+
+
+def test_an_offset_keeps_an_edge_from_counting(spark):
+    """Numbers that differ by a constant beside the scale are no pure conversion, so nothing is learnt from them."""
+    ways = [("d", lambda x: f"{x} crore", None, None), ("e", lambda x: f"{x * 100 + 3000:.1f}", "rupees", "padma")]
+    assert units.convert(spark.createDataFrame(figures(40, *ways), SCHEMA)).count() == 40
