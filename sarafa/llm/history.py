@@ -28,7 +28,7 @@ SEPARATOR = r"\s*(?:::|:|\||/)\s*"
 DATE = r"[0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}|[0-9]{1,2}[-/. ][A-Za-z]{3,9}[-/. ][0-9]{4}"
 KEY = rf"^[\s\"'\x{{a0}}]*([A-Za-z_]+){SEPARATOR}([A-Za-z0-9&._-]+?){SEPARATOR}({DATE}){SEPARATOR}(.*)$"
 DIGEST = r"([0-9a-f]{64})$"
-EXCHANGE = r"(?:\.(?:NS|BO)|-EQ)$"
+EXCHANGE = r"(?:\.(?:NS|BO)|-EQ)+$"
 #: What addresses add to a slug.
 DECORATION = r"\?[a-z0-9_]+=[^-#/?]*|#[a-z0-9_]+|\.html?\b|%[0-9a-f]{2}"
 # ---- end of fixed values ----

@@ -10,10 +10,13 @@ the exact plain Jaccard similarity last. Links form groups by alternating large-
 Bands find a pair by chance, and pairs whose weight sits in misspelt or changed names are easily missed. So there is an
 exact way beside them for all pairs: in the order of rarity, two similar sets must share a word that stands early
 enough in both, so the words that stand early in a set become keys, and sets that agree in a key are candidates. A rare
-word is a key by itself, any other one together with the sizes of the two sets.
+word is a key by itself, any other one together with the sizes of the two sets. The check of the minima discards only
+candidates that no such key names, so it loses no pair.
 
-Records with equal word sets are one class throughout: they are hashed once, and no pair is made among them unless
-pairs of records are asked for. Word frequencies come from a counting sketch over all classes, whose size is fixed;
+Records with equal word sets are one class throughout (told by a 64-bit hash over the words themselves): they are
+hashed once, and no pair is made among them unless pairs of records are asked for. The result proper is the classes and
+the links between their representatives; pairs of records are expanded from it last, in blocks of a bounded size, so
+that a class that holds a third of all records is spread over many tasks. Word frequencies come from a counting sketch over all classes, whose size is fixed;
 it is all that the driver gets and broadcasts.
 """
 
@@ -31,15 +34,17 @@ from sarafa.llm.lineage import cut
 
 #: Bands, minima in a band, and the exponent of the inverse document frequency.
 BANDS, ROWS, POWER = 24, 2, 2.5
-#: A word that more than one class in so many has (and more classes than COMMON_LEAST) is common: it decides in a
-#: minimum only between sets that have nothing rarer. By chance such a word's hash can be least in all sets of a
-#: template, which would make one band of them all.
-COMMON, COMMON_LEAST, FAINT = 500, 64, 1e-9
+#: A word that more than one class in so many has is common: it decides in a minimum only between sets that have nothing
+#: rarer. By chance such a word's hash can be least in all sets of a template, which would make one band of them all.
+COMMON, FAINT = 500, 1e-9
 #: A word that no more classes have than this is rare: as a key it needs no sizes, for so few sets can agree in it.
 RARE = 64
 #: Sizes of sets are told apart up to this ratio in the keys of words that are not rare.
 SIZE_STEP = 1.1
-#: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus.
+#: Records of a class that meet those of another (or of the same) in one task when pairs of records are expanded.
+BLOCK = 4096
+#: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus. Counts only order the words, so words that
+#: share a counter cost time and lose nothing.
 SKETCH = 1 << 18
 #: Of the first minima of all bands, those that must agree before a candidate's words are compared.
 AGREE = 2
@@ -47,9 +52,9 @@ SEED = 20250701
 
 
 def words(text: Column) -> Column:
-    """The distinct lower-cased runs of letters and digits, as sorted 32-bit hashes; empty for null and blank texts."""
+    """The distinct lower-cased runs of letters and digits, sorted; empty for null and blank texts."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.hash(w))))
+    return F.array_sort(F.array_distinct(found))
 
 
 def frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
@@ -97,13 +102,13 @@ def _ranks(flat: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.
     return owner, size[owner], rank
 
 
-def rare_keys(flat: np.ndarray, starts: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def rare_keys(flat: np.ndarray, starts: np.ndarray, count: np.ndarray, threshold: float, few: int = RARE) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) for the rare words that stand early enough for any partner's size; 32 bits, the last one 0.
 
     Counts are never too low, so a word counted once is in no other set and needs no key.
     """
     owner, a, rank = _ranks(flat, starts, count)
-    keep = np.flatnonzero((count > 1) & (count <= RARE) & (a - rank >= threshold * a - 1e-9))
+    keep = np.flatnonzero((count > 1) & (count <= few) & (a - rank >= threshold * a - 1e-9))
     return owner[keep], (_mix(flat[keep]) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
 
 
@@ -141,7 +146,7 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[order], kind))
 
 
-def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
+def signatures(classes: DataFrame, weights, threshold: float, few: int = RARE) -> DataFrame:
     """(rep, key, words, bands, sig, smaller, larger) of every class; weights: (weight, count) of each bucket, broadcast.
 
     bands: hashes of the bands, odd, and early keys of rare words, even; sig: a byte of each band's first minimum;
@@ -162,11 +167,11 @@ def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
                 band = (band ^ low[:, j::ROWS]) * np.uint64(0xD6E8FEB86659FD93)
                 band ^= band >> np.uint64(32)
             band = ((band + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-            rare, word = rare_keys(flat, starts, count, threshold)
+            rare, word = rare_keys(flat, starts, count, threshold, few)
             lists = _lists(np.concatenate([np.repeat(np.arange(n), BANDS), rare]), np.concatenate([band.astype(np.uint32).ravel() | np.uint32(1), word]).view(np.int32), n, pa.int32())
             width = small.shape[1]
             sig = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, small.size + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(small))])
-            own, key, side = early_keys(flat, starts, count, count > RARE, threshold)
+            own, key, side = early_keys(flat, starts, count, count > few, threshold)
             sides = [_lists(own[keep], key[keep], n, pa.int64()) for keep in (side <= 0, side >= 0)]
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, sig, *sides], names=["rep", "key", "words", "bands", "sig", "smaller", "larger"])
 
@@ -175,7 +180,7 @@ def signatures(classes: DataFrame, weights, threshold: float) -> DataFrame:
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key_a, key_b, words_a, words_b, sig_a, sig_b, agree) -> (key_a, key_b) of the pairs at least as similar.
+        """(key_a, key_b, words_a, words_b, sig_a, sig_b, agree, rep_a, rep_b) -> (key_a, key_b, rep_a, rep_b) of the pairs at least as similar.
 
         agree: how many minima must agree before the words are compared; none for candidates by early keys.
         """
@@ -196,7 +201,8 @@ def _verify(threshold: float):
             shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=n)
             # In whole numbers where the threshold is a short decimal: no similarity is lost to rounding.
             enough = shared * 10_000 >= round(threshold * 10_000) * (sizes[0] + sizes[1] - shared)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["key_a", "key_b"]).filter(pa.array(enough))
+            named = [batch.column(i) for i in (0, 1, 7, 8)]
+            yield pa.RecordBatch.from_arrays(named, names=["key_a", "key_b", "rep_a", "rep_b"]).filter(pa.array(enough))
 
     return run
 
@@ -208,15 +214,18 @@ class NearDuplicates:
     record; an empty table gives empty results; further columns are ignored; texts are taken whole.
     """
 
-    def __init__(self, records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6) -> None:
+    def __init__(self, records: DataFrame, id_column: str, text_column: str, threshold: float = 0.6, rare: int = RARE) -> None:
         self.id_column = id_column
-        sets = keep(records.select(F.col(id_column).alias("id"), words(F.col(text_column)).alias("words")), lambda r: F.size(r["words"]) > 0)
-        self.members = sets.select("id", F.xxhash64("words").alias("key"))
-        classes = cut(sets.select("id", "words", F.xxhash64("words").alias("key")).groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words"))
+        sets = keep(records.select(F.col(id_column).alias("id"), words(F.col(text_column)).alias("w")), lambda r: F.size(r["w"]) > 0)
+        self.members = sets.select("id", F.xxhash64("w").alias("key"))
+        # The key tells classes apart by 64 bits over the words; within a comparison 32 bits a word do.
+        hashed = sets.select("id", F.xxhash64("w").alias("key"), F.array_sort(F.transform("w", lambda w: F.hash(w))).alias("words"))
+        classes = cut(hashed.groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words"))
+        self.classes = classes.select("rep", "key")
         counts, total = frequencies(classes)
-        common = (counts * COMMON > total) & (counts > COMMON_LEAST)
+        common = counts * COMMON > total
         weight = np.log1p(total / counts) ** POWER * np.where(common, FAINT, 1.0)
-        signed = signatures(classes, records.sparkSession.sparkContext.broadcast((weight, counts)), threshold)
+        signed = signatures(classes, records.sparkSession.sparkContext.broadcast((weight, counts)), threshold, rare)
         band = signed.select("rep", F.explode("bands").alias("band"))
         a, b = band.alias("a"), band.alias("b")
         chance = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.when(F.col("a.band") % 2 == 0, 0).otherwise(AGREE).alias("agree"))
@@ -228,29 +237,45 @@ class NearDuplicates:
         side = signed.select("rep", "key", "words", "sig").repartition("rep")
         x = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns))
         y = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns))
-        full = pair.join(x, "rep_a").join(y, "rep_b").select("key_a", "key_b", "words_a", "words_b", "sig_a", "sig_b", "agree")
-        #: (key_a, key_b): links between different classes, each once.
-        self.links = full.mapInArrow(_verify(threshold), "key_a bigint, key_b bigint")
+        full = pair.join(x, "rep_a").join(y, "rep_b").select("key_a", "key_b", "words_a", "words_b", "sig_a", "sig_b", "agree", "rep_a", "rep_b")
+        #: (key_a, key_b, rep_a, rep_b): links between different classes, each once, rep_a < rep_b.
+        self.links = full.mapInArrow(_verify(threshold), "key_a bigint, key_b bigint, rep_a bigint, rep_b bigint")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all pairs of records at least as similar as the threshold, copies included.
 
-        The rows are what is asked for and may be many where many records have one word set; classes() gives the
-        same result without expanding them.
+        The rows are what is asked for and may be many where many records have one word set; classes() and
+        class_links() give the same result without expanding them.
         """
-        a = self.members.select(F.col("id").alias("ia"), F.col("key").alias("key_a"))
-        b = self.members.select(F.col("id").alias("ib"), F.col("key").alias("key_b"))
-        apart = self.links.join(a, "key_a").join(b, "key_b").select("ia", "ib")
-        alike = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("ia") < F.col("ib"))).select("ia", "ib")
-        return apart.unionByName(alike).select(F.least("ia", "ib").alias(f"{self.id_column}_a"), F.greatest("ia", "ib").alias(f"{self.id_column}_b")).distinct()
+        size = self.members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        hot = size.filter("blocks > 1")
+        block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+        placed = self.members.join(hot, "key", "left").select("key", block.alias("block"), "id")
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
+        apart = self.links.select("key_a", "key_b").join(hot.select(F.col("key").alias("key_a"), F.col("blocks").alias("n_a")), "key_a", "left").join(hot.select(F.col("key").alias("key_b"), F.col("blocks").alias("n_b")), "key_b", "left")
+        apart = apart.select("key_a", "key_b", upto(F.col("n_a")).alias("block_a"), "n_b").select("key_a", "block_a", "key_b", upto(F.col("n_b")).alias("block_b"))
+        alike = size.select("key", upto(F.col("blocks")).alias("block_a"), "blocks").select(F.col("key").alias("key_a"), "block_a", F.col("key").alias("key_b"), F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
+        a = placed.select(F.col("key").alias("key_a"), F.col("block").alias("block_a"), F.col("id").alias("ia"))
+        b = placed.select(F.col("key").alias("key_b"), F.col("block").alias("block_b"), F.col("id").alias("ib"))
+        both = apart.unionByName(alike).join(a, ["key_a", "block_a"]).join(b, ["key_b", "block_b"])
+        met = both.filter("key_a <> key_b OR block_a <> block_b OR ia < ib").filter("ia <> ib")
+        return met.select(F.least("ia", "ib").alias(f"{self.id_column}_a"), F.greatest("ia", "ib").alias(f"{self.id_column}_b")).distinct()
+
+    def class_links(self) -> DataFrame:
+        """(id_a, id_b): links between different classes, each named by its least record, id_a < id_b."""
+        return self.links.select(F.col("rep_a").alias(f"{self.id_column}_a"), F.col("rep_b").alias(f"{self.id_column}_b"))
 
     def groups(self) -> DataFrame:
-        """(id, class_id, group_id, n_links): each record's class, the group it is connected with, and its class's links to others."""
-        links = cut(self.links.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")))
+        """(id, class_id, group_id, n_links): each record's class, the group it is connected with, and its class's links to others.
+
+        Classes and groups are named by their least record.
+        """
+        links = cut(self.links.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v")))
         root = components(links)
         degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("n_links"))
-        out = self.members.join(root, self.members["key"] == root["node"], "left").join(degree, self.members["key"] == degree["u"], "left")
-        return out.select(F.col("id").alias(self.id_column), F.col("key").alias("class_id"), F.coalesce("root", "key").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        told = self.classes.join(root, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("u"), "left")
+        named = told.select("key", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        return self.members.join(named, "key").select(F.col("id").alias(self.id_column), "class_id", "group_id", "n_links")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -37,6 +37,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.NearDuplicates(_table(spark, sf_dir, "ingestion_events"), "event_id", "title").pairs()
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal titles, each class named by its first event."""
+    return near_dup.NearDuplicates(_table(spark, sf_dir, "ingestion_events"), "event_id", "title").class_links()
+
+
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with the group of its title."""
     return near_dup.NearDuplicates(_table(spark, sf_dir, "ingestion_events"), "event_id", "title").groups()
@@ -67,11 +72,35 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.normal_forms(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "form")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+_WORDS = r"""
+WITH w AS (SELECT event_id, list_sort(list_distinct(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'))) AS ws FROM ingestion_events WHERE title IS NOT NULL),
+c AS (SELECT ws, min(event_id) AS rep, len(ws) AS n FROM w WHERE len(ws) > 0 GROUP BY ws),
+e AS (SELECT rep, n, unnest(ws) AS word FROM c),
+s AS (SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.word = b.word AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT x, y FROM s WHERE k * 10 >= 6 * (na + nb - k))"""
+_P2 = r"""
+WITH k AS (SELECT event_id, trim(regexp_replace(item_key, '%3[aA]', ':', 'g')) AS key, nullif(regexp_extract(lower(regexp_replace(content_hash, '[^0-9A-Za-z]', '', 'g')), '([0-9a-f]{64})$', 1), '') AS sha FROM ingestion_events),
+p AS (SELECT event_id, sha, key, regexp_extract(key, '^[\s"''\x{a0}]*([A-Za-z_]+)\s*(?:::|:|\||/)\s*([A-Za-z0-9&._-]+?)\s*(?:::|:|\||/)\s*([0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}|[0-9]{1,2}[-/. ][A-Za-z]{3,9}[-/. ][0-9]{4})\s*(?:::|:|\||/)\s*(.*)$', ['kind', 'symbol', 'day', 'slug']) AS m FROM k WHERE sha IS NOT NULL AND length(key) > 0),
+n AS (SELECT event_id, sha, regexp_replace(lower(m.kind), 's+$', '') AS kind, regexp_replace(upper(m.symbol), '(\.(NS|BO)|-EQ)+$', '') AS symbol,
+  CASE WHEN regexp_full_match(m.day, '[0-9]{4}.?[0-9]{2}.?[0-9]{2}') THEN regexp_replace(m.day, '[^0-9]', '', 'g') ELSE strftime(try_strptime(regexp_replace(m.day, '[-/.]', ' ', 'g'), '%d %b %Y'), '%Y%m%d') END AS day,
+  list_sort(list_filter(regexp_split_to_array(regexp_replace(lower(CASE WHEN m.kind = '' THEN key ELSE m.slug END), '\?[a-z0-9_]+=[^-#/?]*|#[a-z0-9_]+|\.html?\b|%[0-9a-f]{2}', ' ', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '' AND w NOT IN ('the', 'amp', 'update'))) AS ws FROM p),
+d AS (SELECT DISTINCT *, array_to_string(ws, ' ') AS slug FROM n)
+SELECT min(a.event_id) AS first_event_id, b.event_id FROM d a JOIN d b ON a.sha = b.sha AND a.kind = b.kind AND a.symbol = b.symbol AND a.day IS NOT DISTINCT FROM b.day AND a.event_id < b.event_id
+WHERE a.slug = b.slug OR levenshtein(a.slug, b.slug) * 2 <= greatest(length(a.slug), length(b.slug)) OR len(list_intersect(a.ws, b.ws)) * 2 >= greatest(1, least(len(a.ws), len(b.ws))) GROUP BY b.event_id"""
+
 ORACLES = {
+    "p2_found": _P2,
+    "p6_links": _WORDS + " SELECT x AS event_id_a, y AS event_id_b FROM l",
+    # A class is linked with few others, so walking its links ends soon.
+    "p6_groups": _WORDS.replace("WITH w", "WITH RECURSIVE w")
+    + r""",
+nb AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, t.y FROM reach r JOIN nb t ON r.b = t.x),
+root AS (SELECT a, min(b) AS g FROM reach GROUP BY a), deg AS (SELECT x, count(*) AS n FROM nb GROUP BY x)
+SELECT w.event_id, c.rep AS class_id, g AS group_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links FROM w JOIN c ON w.ws = c.ws JOIN root ON root.a = c.rep LEFT JOIN deg ON deg.x = c.rep""",
     "p6_found": r"""
 WITH w AS (SELECT DISTINCT event_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM ingestion_events WHERE trim(title) <> ''),
 n AS (SELECT event_id, count(*) AS n FROM w GROUP BY 1),

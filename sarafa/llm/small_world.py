@@ -13,7 +13,8 @@ import numpy as np
 
 #: Long links of a node; short links of a node; 64-bit words of a sketch.
 LONG, SHORT, WIDTH = 2, 8, 5
-#: Beams tried in turn until a search agrees with the exhaustive one, and the recall they must reach.
+#: Beams tried in turn until a search agrees with the exhaustive one, and the recall they must reach; beyond the widest
+#: one whole blocks are compared.
 BEAMS, RECALL = (8, 16, 32, 64, 128), 0.999
 #: Queries compared with exhaustive search when a beam is tuned.
 TUNED_ON = 256
@@ -145,49 +146,68 @@ class Shards:
         self.same, self.graphs, self.beam = same, [], BEAMS[0]
 
     def find(self, points: np.ndarray, blocks: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(query, found) outside numbers of the same items, by beam search in every shard and an exact reranking."""
+        """(query, found) outside numbers of the same items, by beam search in every shard and an exact reranking.
+
+        Where tuning left no beam that reaches the recall (beam is None), whole blocks are compared instead.
+        """
         out: list[tuple[int, int]] = []
         for graph in self.graphs:
             entry = graph.entries(blocks)
             hit = np.flatnonzero(entry >= 0)
             for a in range(0, len(hit), 4096):
                 part = hit[a : a + 4096]
-                near, _ = graph.search(points[part], entry[part], self.beam)
-                agree = (near >= 0) & (graph.points[np.maximum(near, 0), 0] == points[part][:, None, 0])
-                for q, k in zip(*np.nonzero(agree)):
-                    i, j = int(ids[part[q]]), int(graph.ids[near[q, k]])
+                for q, k in self._candidates(graph, points, blocks, entry, part):
+                    i, j = int(ids[q]), int(graph.ids[k])
                     if i != j and self.same(i, j):
                         out.append((i, j))
         return out
 
+    def _candidates(self, graph: Graph, points: np.ndarray, blocks: np.ndarray, entry: np.ndarray, part: np.ndarray):
+        if self.beam is None:
+            for q in part:
+                yield from ((int(q), int(m)) for m in graph.members(int(blocks[q])))
+            return
+        near, _ = graph.search(points[part], entry[part], self.beam)
+        agree = (near >= 0) & (graph.points[np.maximum(near, 0), 0] == points[part][:, None, 0])
+        for q, k in zip(*np.nonzero(agree)):
+            yield int(part[q]), int(near[q, k])
+
     def tune(self, points: np.ndarray, blocks: np.ndarray, ids: np.ndarray) -> None:
         """Widens the beam until it finds for a sample of queries what comparing with the whole block finds.
 
-        What counts is whether a query finds one of its items at all: the finds are joined to groups afterwards.
+        What counts is whether a query finds another one of its items at all: the finds are joined to groups
+        afterwards. A block holds all that can match, so comparing with it is the exhaustive search of all history.
         """
         for graph in self.graphs:
+            if self.beam is None:
+                return
             entry = graph.entries(blocks)
             hit = np.flatnonzero(entry >= 0)
             if not len(hit):
                 continue
-            hit = hit[np.linspace(0, len(hit) - 1, min(TUNED_ON, len(hit))).astype(int)]
-            truth = [any(self.same(int(ids[q]), int(graph.ids[m])) for m in graph.members(int(blocks[q]))) for q in hit]
+            # Items of the fullest blocks are the hard ones; half of the sample is taken from them.
+            crowd = np.searchsorted(graph.blocks, blocks[hit], side="right") - np.searchsorted(graph.blocks, blocks[hit], side="left")
+            full = hit[np.argsort(-crowd, kind="stable")[: TUNED_ON // 2]]
+            hit = np.union1d(full, hit[np.linspace(0, len(hit) - 1, min(TUNED_ON // 2, len(hit))).astype(int)])
+            known = lambda q, m: m >= 0 and int(graph.ids[m]) != int(ids[q]) and self.same(int(ids[q]), int(graph.ids[m]))  # noqa: B023, E731
+            truth = [any(known(q, m) for m in graph.members(int(blocks[q]))) for q in hit]
             if not any(truth):
                 continue
-            while self.beam < BEAMS[-1]:
+            while True:
                 near, _ = graph.search(points[hit], entry[hit], self.beam)
-                got = sum(t and any(m >= 0 and self.same(int(ids[q]), int(graph.ids[m])) for m in row) for q, t, row in zip(hit, truth, near))
-                if got >= RECALL * sum(truth):
+                if sum(t and any(known(q, m) for m in row) for q, t, row in zip(hit, truth, near)) >= RECALL * sum(truth):
+                    break
+                at = BEAMS.index(self.beam) + 1
+                self.beam = BEAMS[at] if at < len(BEAMS) else None
+                if self.beam is None:
                     break
-                self.beam = BEAMS[BEAMS.index(self.beam) + 1]
 
     def add(self, points: np.ndarray, blocks: np.ndarray, ids: np.ndarray, segment: int) -> list[tuple[int, int]]:
         """A new segment: its items are looked for in the shards there are and in its own, which then joins them."""
         if not len(points):
             return []
+        self.graphs.append(Graph(points, blocks, ids, (segment, segment), seed=segment + 1))
         self.tune(points, blocks, ids)
-        own = Graph(points, blocks, ids, (segment, segment), seed=segment + 1)
-        self.graphs.append(own)
         out = self.find(points, blocks, ids)
         self.compact()
         return out

@@ -15,7 +15,7 @@ def events(spark, *rows):
     return spark.createDataFrame([(i, b, k, h, 0, "", "") for i, (b, k, h) in enumerate(rows, 1)], SCHEMA)
 
 
-SAME_KEYS = ["news:ABC:2024-03-04:alpha-beta-stake-sale", " \tNEWS : abc : 2024-03-04 : Alpha-Beta-Stake-Sale ", "news|ABC.NS|2024/03/04|alpha_beta_stake_sale", "newss::ABC-EQ::04 Mar 2024::alpha--beta--stake--sale", '"news:ABC:04-Mar-2024:alpha%20beta%20stake%20sale"', "news/ABC/20240304/alpha-beta-stake-sale.html?ref=rss", "news:ABC:2024-03-04:alpha-beta-stake-sale#latest", "news:ABC:2024-03-04:the-alpha-beta-stake-sale", "news:ABC:2024-03-04:alpha-beta-stake", "news:ABC:2024-03-04:sale-alpha-beta-stake", "news:ABC:2024-03-04:alhpa-beta-stake-sale-update", "news:ABC:2024-03-04:stake?src=app&v=2-alpha-beta"]
+SAME_KEYS = ["news:ABC:2024-03-04:alpha-beta-stake-sale", " \tNEWS : abc : 2024-03-04 : Alpha-Beta-Stake-Sale ", "news|ABC.NS|2024/03/04|alpha_beta_stake_sale", "newss::ABC-EQ::04 Mar 2024::alpha--beta--stake--sale", '"news:ABC:04-Mar-2024:alpha%20beta%20stake%20sale"', "news/ABC/20240304/alpha-beta-stake-sale.html?ref=rss", "news:ABC:2024-03-04:alpha-beta-stake-sale#latest", "news:ABC:2024-03-04:the-alpha-beta-stake-sale", "news:ABC:2024-03-04:alpha-beta-stake", "news:ABC:2024-03-04:sale-alpha-beta-stake", "news:ABC:2024-03-04:alhpa-beta-stake-sale-update", "news:ABC:2024-03-04:stake?src=app&v=2-alpha-beta", "news:ABC.NS.NS:2024-03-04:alpha-beta-stake-sale", "news:abc-eq.bo:2024-03-04:alpha-beta-stake-sale", "news:ABC.NS-EQ:2024-03-04:alpha-beta-stake-sale", "newsss:ABC-EQ-EQ:2024-03-04:alpha-beta-stake-sale"]
 OTHER_KEYS = ["filing:ABC:2024-03-04:alpha-beta-stake-sale", "news:ABD:2024-03-04:alpha-beta-stake-sale", "news:ABC:2024-03-05:alpha-beta-stake-sale", "news:ABC:2024-03-04:gamma-delta-launch", "", " ", None]
 
 
@@ -78,10 +78,22 @@ def test_shards_find_what_exhaustive_search_finds():
         found |= {tuple(sorted(p)) for p in shards.add(points[part], block[part], part, k)}
     want = {(i, j) for i, j in itertools.combinations(range(len(slugs)), 2) if H.same_slug(slugs[i], slugs[j])}
     hit = {j for _, j in found}
-    assert found <= want and len({j for _, j in want} & hit) >= 0.9 * len({j for _, j in want})
+    assert found <= want and len({j for _, j in want} & hit) >= 0.99 * len({j for _, j in want})
     assert len(shards.graphs) <= 5 and sum(len(g.points) for g in shards.graphs) == len(slugs)
 
 
+def test_whole_blocks_are_compared_where_no_beam_suffices(monkeypatch):
+    """With a recall no beam of 2 reaches, the first segment alone already gives every pair of the block."""
+    monkeypatch.setattr(W, "BEAMS", (2,))
+    rng = random.Random(6)
+    slugs = list(dict.fromkeys(slips_of(rng, s) for s in [names(rng, 3) for _ in range(40)] for _ in range(6)))
+    block, ids = np.zeros(len(slugs), np.int64), np.arange(len(slugs))
+    shards = W.Shards(lambda i, j: H.same_slug(slugs[i], slugs[j]))
+    found = {tuple(sorted(p)) for p in shards.add(W.sketches(slugs, block), block, ids, 0)}
+    assert shards.beam is None
+    assert found == {(i, j) for i, j in itertools.combinations(range(len(slugs)), 2) if H.same_slug(slugs[i], slugs[j])}
+
+
 def test_search_goes_nowhere_without_an_entry():
     g = W.Graph(W.sketches(["a b", "a c"], np.array([1, 1])), np.array([1, 1]), np.array([0, 1]), (1, 1))
     assert g.entries(np.array([2, 1])).tolist()[0] == -1 and g.entries(np.array([1]))[0] in (0, 1)
