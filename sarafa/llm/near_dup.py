@@ -41,6 +41,8 @@ COMMON, FAINT = 500, 1e-9
 RARE = 64
 #: Sizes of sets are told apart up to this ratio in the keys of words that are not rare.
 SIZE_STEP = 1.1
+#: Classes of more than BLOCK records that may be broadcast; where there are more of them they are joined by a shuffle.
+HOT_MOST = 100_000
 #: Records of a class that meet those of another (or of the same) in one task when pairs of records are expanded.
 BLOCK = 4096
 #: Counters of the word sketch: 1 MB as 32-bit numbers, whatever the corpus. Counts only order the words, so words that
@@ -147,7 +149,7 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
 
 
 def signatures(classes: DataFrame, weights, threshold: float, few: int = RARE) -> DataFrame:
-    """(rep, key, words, bands, sig, smaller, larger) of every class; weights: (weight, count) of each bucket, broadcast.
+    """(rep, key, words, blocks, bands, sig, smaller, larger) of every class; weights: (weight, count) of each bucket, broadcast.
 
     bands: hashes of the bands, odd, and early keys of rare words, even; sig: a byte of each band's first minimum;
     smaller, larger: early keys of the other words, as the smaller or the larger set of a pair.
@@ -173,14 +175,14 @@ def signatures(classes: DataFrame, weights, threshold: float, few: int = RARE) -
             sig = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, small.size + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(small))])
             own, key, side = early_keys(flat, starts, count, count > few, threshold)
             sides = [_lists(own[keep], key[keep], n, pa.int64()) for keep in (side <= 0, side >= 0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, sig, *sides], names=["rep", "key", "words", "bands", "sig", "smaller", "larger"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, sig, *sides], names=["rep", "key", "words", "blocks", "bands", "sig", "smaller", "larger"])
 
-    return classes.mapInArrow(run, "rep bigint, key bigint, words array<int>, bands array<int>, sig binary, smaller array<bigint>, larger array<bigint>")
+    return classes.mapInArrow(run, "rep bigint, key bigint, words array<int>, blocks int, bands array<int>, sig binary, smaller array<bigint>, larger array<bigint>")
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key_a, key_b, words_a, words_b, sig_a, sig_b, agree, rep_a, rep_b) -> (key_a, key_b, rep_a, rep_b) of the pairs at least as similar.
+        """(key_a, key_b, words_a, words_b, sig_a, sig_b, agree, ...) -> (key_a, key_b, ...) of the pairs at least as similar.
 
         agree: how many minima must agree before the words are compared; none for candidates by early keys.
         """
@@ -201,8 +203,8 @@ def _verify(threshold: float):
             shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=n)
             # In whole numbers where the threshold is a short decimal: no similarity is lost to rounding.
             enough = shared * 10_000 >= round(threshold * 10_000) * (sizes[0] + sizes[1] - shared)
-            named = [batch.column(i) for i in (0, 1, 7, 8)]
-            yield pa.RecordBatch.from_arrays(named, names=["key_a", "key_b", "rep_a", "rep_b"]).filter(pa.array(enough))
+            kept = batch.select(["key_a", "key_b", "rep_a", "rep_b", "blocks_a", "blocks_b"])
+            yield kept.filter(pa.array(enough))
 
     return run
 
@@ -220,12 +222,12 @@ class NearDuplicates:
         self.members = sets.select("id", F.xxhash64("w").alias("key"))
         # The key tells classes apart by 64 bits over the words; within a comparison 32 bits a word do.
         hashed = sets.select("id", F.xxhash64("w").alias("key"), F.array_sort(F.transform("w", lambda w: F.hash(w))).alias("words"))
-        classes = cut(hashed.groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words")).select("rep", "key", "words"))
-        self.classes = classes.select("rep", "key")
+        classes = cut(hashed.groupBy("key").agg(F.min("id").cast("bigint").alias("rep"), F.first("words").alias("words"), F.count("*").alias("n")).select("rep", "key", "words", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), (F.col("n") > 1).alias("many")))
+        self.classes = classes.select("rep", "key", "blocks", "many")
         counts, total = frequencies(classes)
         common = counts * COMMON > total
         weight = np.log1p(total / counts) ** POWER * np.where(common, FAINT, 1.0)
-        signed = signatures(classes, records.sparkSession.sparkContext.broadcast((weight, counts)), threshold, rare)
+        signed = signatures(classes.select("rep", "key", "words", "blocks"), records.sparkSession.sparkContext.broadcast((weight, counts)), threshold, rare)
         band = signed.select("rep", F.explode("bands").alias("band"))
         a, b = band.alias("a"), band.alias("b")
         chance = a.join(b.hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.rep") < F.col("b.rep"))).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.when(F.col("a.band") % 2 == 0, 0).otherwise(AGREE).alias("agree"))
@@ -234,12 +236,12 @@ class NearDuplicates:
         # Sent by rep_a, candidates are counted once and are where the verification's first join wants them.
         pair = chance.unionByName(sure).repartition("rep_a").groupBy("rep_a", "rep_b").agg(F.min("agree").alias("agree"))
         # One exchange serves both sides of the verification.
-        side = signed.select("rep", "key", "words", "sig").repartition("rep")
+        side = signed.select("rep", "key", "words", "sig", "blocks").repartition("rep")
         x = side.select(*(F.col(c).alias(f"{c}_a") for c in side.columns))
         y = side.select(*(F.col(c).alias(f"{c}_b") for c in side.columns))
-        full = pair.join(x, "rep_a").join(y, "rep_b").select("key_a", "key_b", "words_a", "words_b", "sig_a", "sig_b", "agree", "rep_a", "rep_b")
-        #: (key_a, key_b, rep_a, rep_b): links between different classes, each once, rep_a < rep_b.
-        self.links = full.mapInArrow(_verify(threshold), "key_a bigint, key_b bigint, rep_a bigint, rep_b bigint")
+        full = pair.join(x, "rep_a").join(y, "rep_b").select("key_a", "key_b", "words_a", "words_b", "sig_a", "sig_b", "agree", "rep_a", "rep_b", "blocks_a", "blocks_b")
+        #: (key_a, key_b, rep_a, rep_b, blocks_a, blocks_b): links between different classes, each once, rep_a < rep_b.
+        self.links = full.mapInArrow(_verify(threshold), "key_a bigint, key_b bigint, rep_a bigint, rep_b bigint, blocks_a int, blocks_b int")
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all pairs of records at least as similar as the threshold, copies included.
@@ -247,14 +249,16 @@ class NearDuplicates:
         The rows are what is asked for and may be many where many records have one word set; classes() and
         class_links() give the same result without expanding them.
         """
-        size = self.members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        hot = size.filter("blocks > 1")
-        block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
-        placed = self.members.join(hot, "key", "left").select("key", block.alias("block"), "id")
-        upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
-        apart = self.links.select("key_a", "key_b").join(hot.select(F.col("key").alias("key_a"), F.col("blocks").alias("n_a")), "key_a", "left").join(hot.select(F.col("key").alias("key_b"), F.col("blocks").alias("n_b")), "key_b", "left")
-        apart = apart.select("key_a", "key_b", upto(F.col("n_a")).alias("block_a"), "n_b").select("key_a", "block_a", "key_b", upto(F.col("n_b")).alias("block_b"))
-        alike = size.select("key", upto(F.col("blocks")).alias("block_a"), "blocks").select(F.col("key").alias("key_a"), "block_a", F.col("key").alias("key_b"), F.explode(F.sequence(F.col("block_a"), F.col("blocks") - 1)).alias("block_b"))
+        hot = self.classes.filter("blocks > 1").select("key", "blocks")
+        n_hot, own = hot.count(), F.lit(0)
+        placed = self.members
+        if n_hot:
+            placed = placed.join(F.broadcast(hot) if n_hot <= HOT_MOST else hot, "key", "left")
+            own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+        placed = placed.select("key", own.alias("block"), "id")
+        upto = lambda c, least=F.lit(0): F.explode(F.sequence(least, F.col(c) - 1))
+        apart = self.links.select("key_a", "key_b", upto("blocks_a").alias("block_a"), "blocks_b").select("key_a", "block_a", "key_b", upto("blocks_b").alias("block_b"))
+        alike = self.classes.filter("many").select("key", upto("blocks").alias("block_a"), "blocks").select(F.col("key").alias("key_a"), "block_a", F.col("key").alias("key_b"), upto("blocks", F.col("block_a")).alias("block_b"))
         a = placed.select(F.col("key").alias("key_a"), F.col("block").alias("block_a"), F.col("id").alias("ia"))
         b = placed.select(F.col("key").alias("key_b"), F.col("block").alias("block_b"), F.col("id").alias("ib"))
         both = apart.unionByName(alike).join(a, ["key_a", "block_a"]).join(b, ["key_b", "block_b"])
