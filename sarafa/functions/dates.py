@@ -40,13 +40,12 @@ def is_recent(as_of: Column, today: Column, most: int = RECENT_DAYS) -> Column:
 
 
 def period_tag(c: Column) -> Column:
-    """FYyyyy as stated by FYnn, FYnnnn, "year ended 31 March yyyy" or 31-03-yyyy; NULL if none."""
-    long = F.regexp_extract(c, r"(?i)\bFY\s?'?([0-9]{4})\b", 1)
-    short = F.regexp_extract(c, r"(?i)\bFY\s?'?([0-9]{2})\b", 1)
-    ended = F.regexp_extract(c, r"(?i)year ended\s+(?:31(?:st)?\s+March|March\s+31),?\s+([0-9]{4})", 1)
+    """FYyyyy as stated by FYnn or FYnnnn, else by "year ended", "as at", "as on" or "as of" a day of March, else by 31-03-yyyy; NULL if none."""
+    tag = F.regexp_extract(c, r"(?i)\bFY\s?([0-9]{2,4})\b", 1)
+    march = F.regexp_extract(c, r"(?i)(?:year ended|as at|as on|as of)\s+[0-9]{1,2}\s+(?:march|mar)\.?\s+([0-9]{4})", 1)
     dashed = F.regexp_extract(c, r"\b31[-/.]0?3[-/.]([0-9]{4})\b", 1)
-    year = F.coalesce(F.nullif(long, F.lit("")), F.when(short != "", F.concat(F.lit("20"), short)), F.nullif(ended, F.lit("")), F.nullif(dashed, F.lit("")))
-    return F.when(year.isNotNull(), F.concat(F.lit("FY"), year))
+    year = F.when(tag != "", F.when(F.length(tag) == 2, F.concat(F.lit("20"), tag)).otherwise(tag)).when(march != "", march).when(dashed != "", dashed)
+    return F.concat(F.lit("FY"), year)
 
 
 def first_year(c: Column) -> Column:
@@ -55,10 +54,16 @@ def first_year(c: Column) -> Column:
 
 
 def latest_year_stated(c: Column) -> Column:
-    """The latest fiscal year a text names by FYnnnn or "year ended"; failing that the latest of its 20nn years."""
-    sure = F.transform(F.regexp_extract_all(c, F.lit(r"(?i)(?:FY\s?|year ended [A-Za-z0-9 ,]{0,12})(20[0-9]{2})\b"), 1), lambda y: y.try_cast("int"))
-    loose = F.transform(F.regexp_extract_all(c, F.lit(r"\b(20[0-9]{2})\b"), 1), lambda y: y.try_cast("int"))
-    return F.coalesce(F.array_max(sure), F.array_max(loose))
+    """The latest fiscal year a text states.
+
+    Statements of a year's end in March are certain; only where there is none do the mentions FYnnnn, FYnn and 20nn-nn
+    count, which may name a target. The whole text is read.
+    """
+    certain = (r"(?i)year\s+ended[^.]{0,40}?march[,\s]+.{0,6}?(20[0-9]{2})", r"(?i)march\s+31[,\s]+(20[0-9]{2})", r"(?i)31\s*(?:st)?\s*march[,\s]+(20[0-9]{2})")
+    found = lambda pattern: F.regexp_extract_all(c, F.lit(pattern), 1)
+    short = F.transform(F.concat(found(r"(?i)\bFY\s?'?([0-9]{2})\b"), found(r"20[0-9]{2}\s*[-/]\s*([0-9]{2})\b")), lambda y: F.concat(F.lit("20"), y))
+    latest = lambda years: F.array_max(F.transform(years, lambda y: y.try_cast("int")))
+    return F.coalesce(latest(F.concat(*map(found, certain))), latest(F.concat(found(r"(?i)\bFY\s?(20[0-9]{2})"), short)))
 
 
 def fiscal_year(d: Column) -> Column:

@@ -4,8 +4,7 @@ A line is matched against the grammar of a delimited row by dynamic programming
 states are the places a reader can be in (start of a field, in plain text, in quotes, after a closing
 quote); each step reads a character at no cost, or deletes or inserts a quote or a delimiter at cost one. A
 line whose cheapest parse costs nothing and whose fields have valid types loads. For every other line the edits
-of the cheapest parse give the reason. The lines that cost nothing form a regular language, so they are
-recognised on the JVM by one pattern and only the rest go through the program.
+of the cheapest parse give the reason. Every line goes through the program, which follows one path where a line needs no edit.
 """
 
 from __future__ import annotations
@@ -20,17 +19,10 @@ from sarafa.functions.rows import keep
 
 # ---- fixed values: the form of a line and of a number ----
 FIELDS = 4
-#: A row without quoting faults, with any number of fields.
-CLEAN = r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$'
-#: One field of a clean row.
-FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^",]*)'
 RUPEE = r"(?i)₹|rs\.?|inr"
 DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 # ---- end of fixed values ----
 
-#: Longer lines go through the program even if clean: the pattern's matcher recurses with a line's length.
-PATTERN_MOST = 1000
-
 START, PLAIN, QUOTED, CLOSED = range(4)
 
 
@@ -108,14 +100,59 @@ def _text(chain: tuple | None) -> str:
     return "".join(_unlink(chain)[::-1])
 
 
+def parsed(line: str) -> tuple[int, int, str, list[str] | None]:
+    """(cost of the quoting, cost with the fields, edits, cells of a parse that costs nothing).
+
+    A line that needs no edit is followed by the program's one path of cost nothing; the other paths are opened only
+    where that path ends.
+    """
+    cells = free(line)
+    if cells is not None and len(cells) == FIELDS:
+        return 0, 0, "", cells
+    cost, edits, _ = cheapest(line, FIELDS)
+    return 0 if cells is not None else cheapest(line)[0], cost, "; ".join(edits), None
+
+
+def free(line: str) -> list[str] | None:
+    """The fields of a parse that costs nothing, None where there is none: the program's states without its edits.
+
+    Without edits each state has one way to go on, so the characters between two marks are taken at once.
+    """
+    cells, at, end = [], 0, len(line)
+    while True:
+        if at < end and line[at] == '"':
+            cell, at = [], at + 1
+            while True:
+                shut = line.find('"', at)
+                if shut < 0:
+                    return None
+                cell.append(line[at:shut])
+                at = shut + 1
+                if at >= end or line[at] != '"':
+                    break
+                cell.append('"')
+                at += 1
+            cells.append("".join(cell))
+            if at < end and line[at] != ",":
+                return None
+        else:
+            comma = line.find(",", at)
+            comma = end if comma < 0 else comma
+            if line.find('"', at, comma) >= 0:
+                return None
+            cells.append(line[at:comma])
+            at = comma
+        if at >= end:
+            return cells
+        at += 1
+
+
 def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(line_id, line) -> the costs and edits of the cheapest parse, and the cells of a parse that costs nothing."""
     for batch in batches:
-        lines = batch.column(1).to_pylist()
-        quote = [cheapest(x)[0] for x in lines]
-        whole = [cheapest(x, FIELDS) for x in lines]
-        cells = [x[2] if not q and not x[0] else None for q, x in zip(quote, whole)]
-        columns = [pa.array(quote, pa.int32()), pa.array([x[0] for x in whole], pa.int32()), pa.array(["; ".join(x[1]) for x in whole], pa.string()), pa.array(cells, pa.list_(pa.string()))]
+        found = [parsed(x) for x in batch.column(1).to_pylist()]
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()))
+        columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["line_id", "quote_cost", "cost", "edits", "cells"])
 
 
@@ -136,14 +173,9 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     body = F.coalesce(F.regexp_replace("raw_line", r"\r$", ""), F.lit(""))
     rows = lines.filter("line_no IS NULL OR line_no > 1").select(F.col("line_id").cast("bigint").alias("line_id"), body.alias("line"))
-    clean = F.when(F.length("line") <= PATTERN_MOST, F.col("line").rlike(CLEAN)).otherwise(False)
-    split = F.transform(F.regexp_extract_all("line", F.lit(FIELD), 1), lambda c: F.when(c.startswith('"'), F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c))
-    read = rows.withColumn("cells", F.when(clean, split)).withColumn("ok", F.coalesce(F.size("cells") == FIELDS, F.lit(False)))
-    nothing = F.lit(None).cast("string")
-    fine = read.filter("ok").select("line_id", "cells", nothing.alias("reason"), nothing.alias("edits"))
-    mended = read.filter("NOT ok").select("line_id", "line").mapInArrow(_repairs, "line_id bigint, quote_cost int, cost int, edits string, cells array<string>")
+    mended = rows.mapInArrow(_repairs, "line_id bigint, quote_cost int, cost int, edits string, cells array<string>")
     why = F.when(F.col("quote_cost") > 0, "quoting").when(F.col("cost") > 0, "columns")
-    every = fine.unionByName(mended.select("line_id", "cells", why.alias("reason"), F.when(why.isNotNull(), F.col("edits")).alias("edits")))
+    every = mended.select("line_id", "cells", why.alias("reason"), F.when(why.isNotNull(), F.col("edits")).alias("edits"))
     cell = [F.get("cells", F.lit(i)) for i in range(FIELDS)]
     typed = every.select("line_id", F.trim(cell[0]).alias("symbol"), number(cell[1]).alias("quantity"), number(cell[2]).alias("avg_cost"), F.when(F.col("reason").isNull(), F.coalesce(F.nullif(F.trim(cell[3]), F.lit("")), F.lit("Unknown"))).alias("sector"), "reason", "edits")
     bad_type = F.when(~F.coalesce(F.col("quantity") > 0, F.lit(False)), "quantity").when(~F.coalesce(F.col("avg_cost") >= 0, F.lit(False)), "avg_cost")

@@ -33,8 +33,8 @@ def brute(line, most):
     """Least number of quotes and delimiters to insert or delete until the line is a clean row of four fields."""
     import re
 
-    clean = re.compile(badrows.CLEAN)
-    ok = lambda s: clean.match(s) and len(re.findall(badrows.FIELD, s)) == 4
+    clean = re.compile(r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*$')
+    ok = lambda s: clean.match(s) and len(re.findall(r'(?:^|,)("(?:[^"]|"")*"|[^",]*)', s)) == 4
     seen = {line}
     for cost in range(most + 1):
         if any(map(ok, seen)):
@@ -51,6 +51,17 @@ def test_cost_is_least(line):
     assert got == want or (got > 3 and want > 3)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(['"', ",", "a", '""', '"b"', '"c,d"', ",,"]), max_size=12).map("".join))
+def test_the_free_path_is_the_program_without_edits(line):
+    """What costs nothing by the whole program is followed to the same cells; all else gets the program's costs."""
+    whole, alone = badrows.cheapest(line, 4), badrows.cheapest(line)[0]
+    quoting, cost, edits, cells = badrows.parsed(line)
+    assert (quoting, cost) == (alone, whole[0])
+    assert cells == (whole[2] if whole[0] == 0 else None) and edits == "; ".join(whole[1])
+    assert (badrows.free(line) is not None) == (alone == 0)
+
+
 def test_edits_tell_what_is_wrong():
     assert badrows.cheapest('A"B,1,2,IT', 4)[:2] == (1, ["delete quote at 1"])
     assert badrows.cheapest("A,1,2,Oil, Gas", 4)[0] == 1

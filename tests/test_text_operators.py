@@ -69,13 +69,31 @@ def test_records(spark):
 
 
 def test_elements(spark):
-    text = "Balance sheet\n(Rs in crore)\nParticulars\t2024\t2023\nCash\t1,200\t900\n\nThe year ended 31 March 2024 was good.\nMore words here.\nRISK MANAGEMENT\nNothing new."
-    got = structure.elements(text)
-    assert [g[0] for g in got] == ["table", "paragraph", "heading", "paragraph"]
-    assert got[0][2:] == ("Balance sheet", "crore", None) and got[1][4] == "FY2024" and got[3][2] == "RISK MANAGEMENT"
-    assert structure.elements(None) == structure.elements(" \n ") == []
-    df = spark.createDataFrame([(1, text), (2, None)], "chunk_id int, text string")
-    assert structure.split_elements(df).count() == 4
+    text = "Balance Sheet\n(Rs in crore)\nItem  2024  2023\nCash  10  20\n\nSome words here.\n(Rs in lakh)\nMore words as at 31 March 2024.\n\nRisk Factors\nOne risk.\n\nIn ₹ lakh\n|a|1|\n|b|2|\nKEY NOTE:\n"
+    df = spark.createDataFrame([("a", text, "junk"), ("b", None, ""), ("c", " \n\t", ""), ("d", "plain", "")], "chunk_id string, text string, kind string")
+    got = [tuple(r)[:2] + tuple(r)[2:3] + tuple(r)[4:] for r in structure.split_elements(df).orderBy("id", "pos").collect()]
+    assert got == [
+        ("a", 0, "table", None, "crore", "INR", None),
+        ("a", 5, "paragraph", None, None, None, "FY2024"),
+        ("a", 9, "heading", "Risk Factors", None, None, None),
+        ("a", 10, "paragraph", "Risk Factors", None, None, None),
+        ("a", 12, "table", "Risk Factors", "lakh", "INR", None),
+        ("a", 15, "heading", "KEY NOTE:", None, None, None),
+        ("d", 0, "paragraph", None, None, None, None),
+    ]
+    assert structure.split_elements(df.limit(0)).count() == 0
+
+
+def test_elements_of_a_very_long_text(spark):
+    text = "\n".join(["Heading Here", "words and words", ""] * 30_000)
+    assert structure.split_elements(spark.createDataFrame([("a", text)], "chunk_id string, text string")).groupBy("kind").count().orderBy("kind").collect()[0][1] == 30_000
+
+
+def test_claims_fail_for_every_reason(spark):
+    from sarafa.plans.evidence import q42_claim_guards
+
+    seen = {r.reason for r in q42_claim_guards(spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
+    assert {"grounded", "unit", "period", "tier", None} <= seen
 
 
 RETRIEVED = "chunk_id string, source_id string, text string, records array<struct<key:string,scale:string,period:string>>"
