@@ -30,6 +30,18 @@ def test_shares_are_reached(spark):
     assert np.argmax(soft.member) == 1 and math.isclose(sum(soft.member), 1, abs_tol=1e-5)
 
 
+def test_wrong_labels_give_way_to_strong_texts(spark):
+    """A document whose text plainly belongs elsewhere is counted there; all others keep the source they state."""
+    topics = {"a": "profit revenue margin growth ", "b": "plant outage boiler turbine ", "c": "rating debt notes coupon "}
+    rows = [(i, topics[s] * (5 + i % 7), s) for i, s in enumerate("aabbbbcc" * 60)] + [(2000 + i, topics["a"] * 9, "c") for i in range(4)]
+    t = spark.createDataFrame([("a", 0.4, 3), ("b", 0.3, 2), ("c", 0.3, 3)], TARGETS)
+    m = M.Mixture(docs(spark, rows), t)
+    each = {r.doc_id: r for r in m.copies().collect()}
+    assert all(np.argmax(each[2000 + i].member) == 0 for i in range(4))
+    assert all(np.argmax(r.member) == r.label for i, r in each.items() if i < 2000)
+    assert all(abs(r.actual_share - r.target_share) < 0.01 for r in m.shares().collect())
+
+
 def test_capped_source_gives_all_it_may(spark):
     rows = [(i, "word " * 50, "small" if i < 10 else "big") for i in range(200)]
     t = spark.createDataFrame([("small", 0.5, 2), ("big", 0.5, 2)], TARGETS)
@@ -64,6 +76,8 @@ def test_classifier_on_held_out_documents(tables):
 
     e = tokens.Encoder(tokens.read_ranks())
     held = [(r.text, m.sources.index(r.source)) for r in d.collect() if r.text and r.source in m.sources]
-    top = M._scores(e.encode([t for t, _ in held]), model).argmax(1)
+    ids = e.encode([t for t, _ in held])
+    flat = np.array([i for x in ids for i in x]) % M.FEATURES
+    top = M._scores(flat, np.array([len(x) for x in ids]), model).argmax(1)
     labels = np.array([s for _, s in held])
     assert (top == labels).mean() >= np.bincount(labels).max() / len(labels)
