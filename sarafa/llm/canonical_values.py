@@ -4,7 +4,11 @@ A multi-pattern automaton over the list's canonical names and their aliases find
 of overlapping finds the longest wins, from left to right, and a value whose finds all mean one entry and leave
 only filler words is settled. What remains goes to token-set similarity: each word of the value is matched to words
 of the entries (equal, a beginning of at least three letters, a contraction, or one slip of the pen), and the
-value means the entry that alone explains all its words best. Anything else is UNMATCHED.
+value means the entry that alone explains all its words best. A value that no entry explains as a whole means the one
+entry whose name stands in it ("bought ABCDEF on dip"). Anything else is UNMATCHED.
+
+Similar words are looked up, never compared with the whole list: words that can stand for each other share their first
+three letters or what is left of them without one letter.
 
 The reference lists are small dimensions (hundreds of names). Their size is checked before they are
 broadcast; each task remembers the distinct values it has seen, within a bound, so there is no shuffle.
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 UNMATCHED = "UNMATCHED"
 #: Entries a list may have to be shipped to every task.
 MAX_ENTRIES = 100_000
+#: Letters a name must have to count inside a longer text: shorter ones are words of the language too.
+MENTION = 4
 #: Values a task remembers before it starts afresh.
 REMEMBERED = 200_000
 
@@ -72,6 +78,13 @@ def _without_one(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
+def _parts_of(word: str) -> set[str]:
+    """What two words share at least one of if either can stand for the other."""
+    bare = word.rstrip("s")
+    gaps = {f"~{v}" for w in (word, bare) for v in _without_one(w)}
+    return {word, word[:3], *gaps}
+
+
 def alike(typed: str, word: str) -> float:
     """How well a typed word stands for a word of an entry: 1 equal, 0 not at all."""
     if typed == word or SHORT_FORMS.get(typed) == word:
@@ -122,6 +135,19 @@ class Matcher:
                     acronym = "".join(w[0] for w in kept)
                     if len(kept) > 1 and not closed_up:
                         self.by_name[acronym].add(name)
+        # Words of the entries by what a word that stands for them shares with them, and the forms they occur in.
+        self.by_part: dict[str, set[str]] = defaultdict(set)
+        self.forms_with: dict[str, set[tuple[str, tuple[str, ...]]]] = defaultdict(set)
+        for name, forms in self.entry_words.items():
+            for form in forms:
+                for w in form:
+                    self.forms_with[w].add((name, form))
+        for w in self.forms_with:
+            for part in _parts_of(w):
+                self.by_part[part].add(w)
+        self.near: dict[str, dict[str, float]] = {}
+        self.spoken = {" ".join(words_of(fold(a))) for name, aliases in entries.items() for a in (name, *aliases)}
+        self.spoken |= {" ".join(form) for forms in self.entry_words.values() for form in forms}
         self.automaton = ahocorasick.Automaton()
         for text in self.by_name:
             self.automaton.add_word(f" {text} ", text)
@@ -146,12 +172,13 @@ class Matcher:
         words = words_of(stripped)
         if not words:
             return UNMATCHED
-        return self._embedded(words) or self._joined(words) or self._similar(words) or UNMATCHED
+        taken = self._finds(words)
+        return self._embedded(words, taken) or self._joined(words) or self._similar(words) or self._mentioned(words, taken) or UNMATCHED
 
-    def _embedded(self, words: list[str]) -> str | None:
-        """Longest non-overlapping finds; they settle the value if they mean one entry and leave fillers only."""
+    def _finds(self, words: list[str]) -> list[tuple[int, int, str]]:
+        """Longest non-overlapping finds of the automaton: (start, end, name)."""
         if not self.by_name:
-            return None
+            return []
         text = f" {' '.join(words)} "
         finds = sorted(((end - len(t) - 1, end, t) for end, t in self.automaton.iter(text)), key=lambda f: (-(f[1] - f[0]), f[0]))
         taken: list[tuple[int, int, str]] = []
@@ -159,8 +186,26 @@ class Matcher:
             # The blanks around a name may be shared by two names.
             if all(b - 1 <= x or a >= y - 1 for x, y, _ in taken):
                 taken.append((a, b, t))
+        return taken
+
+    def _mentioned(self, words: list[str], taken: list[tuple[int, int, str]]) -> str | None:
+        """The one entry that is named in full inside a longer text.
+
+        A single word that opens the value and is followed by others may be part of another name ("Abcdef Finance"), and so may a
+        name beside words of other entries; these do not count.
+        """
+        named = [(a, t) for a, _, t in taken if len(t) >= MENTION and t in self.spoken and not t.isdigit()]
+        one = set.intersection(*(self.by_name[t] for _, t in named)) if named else set()
+        inside = {w for _, t in named for w in t.split()}
+        if len(one) != 1 or any(w in self.forms_with for w in words if w not in inside):
+            return None
+        return next(iter(one)) if any(a > 0 or " " in t for a, t in named) else None
+
+    def _embedded(self, words: list[str], taken: list[tuple[int, int, str]]) -> str | None:
+        """The finds settle the value if they mean one entry and leave fillers only."""
         if not taken:
             return None
+        text = f" {' '.join(words)} "
         covered = {i for a, b, _ in taken for i in range(a, b + 1)}
         rest = words_of("".join(" " if i in covered else c for i, c in enumerate(text)))
         meant = set.intersection(*(self.by_name[t] for *_, t in taken))
@@ -193,11 +238,14 @@ class Matcher:
         if len(kept) > 1 and len("".join(kept)) <= 6 and not self.closed_up and (meant := self.by_name.get("".join(kept), set())):
             return next(iter(meant)) if len(meant) == 1 else None
         scored: dict[str, float] = {}
-        for name, forms in self.entry_words.items():
-            for form in forms:
-                score = self._score(kept, form)
-                if score > scored.get(name, 0.0):
-                    scored[name] = score
+        near = [self._near(w) for w in kept]
+        # Words that must be explained; the one with the fewest likenesses names the forms to look at.
+        firm = [n for w, n in zip(kept, near) if self.closed_up or w not in SOFT]
+        words = min(firm, key=len) if firm else set().union(*near)
+        for name, form in {f for w in words for f in self.forms_with[w]}:
+            score = self._score(kept, near, form)
+            if score > scored.get(name, 0.0):
+                scored[name] = score
         if not scored:
             return None
         # A value that other entries explain as fully by their words means none of them alone.
@@ -205,11 +253,20 @@ class Matcher:
         near = [n for n, s in scored.items() if s > best * (0.8 if len(kept) == 1 and best < 0.9 else 1 - 1e-9)]
         return near[0] if len(near) == 1 else None
 
-    def _score(self, typed: list[str], form: tuple[str, ...]) -> float:
+    def _near(self, typed: str) -> dict[str, float]:
+        """The words of the entries that a typed word may stand for, with how well it does."""
+        if typed not in self.near:
+            if len(self.near) >= REMEMBERED:
+                self.near.clear()
+            could = set().union(*(self.by_part.get(p, ()) for p in {*_parts_of(typed), *_parts_of(SHORT_FORMS.get(typed, typed))}))
+            self.near[typed] = {w: x for w in could if (x := alike(typed, w))}
+        return self.near[typed]
+
+    def _score(self, typed: list[str], near: list[dict[str, float]], form: tuple[str, ...]) -> float:
         """Mean likeness of the typed words times the part of the entry they explain; 0 if one explains nothing."""
         left, total, counted = list(form), 0.0, 0
-        for w in typed:
-            best = max(((alike(w, x), -i) for i, x in enumerate(left)), default=(0.0, 0))
+        for w, likeness in zip(typed, near):
+            best = max(((likeness.get(x, 0.0), -i) for i, x in enumerate(left)), default=(0.0, 0))
             if best[0] == 0.0:
                 if w in SOFT and not self.closed_up:
                     continue

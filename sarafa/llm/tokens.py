@@ -138,9 +138,10 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 def encoder(shared) -> Encoder:
-    """This worker's encoder for a broadcast vocabulary."""
+    """This worker's encoder for a broadcast vocabulary; a reused worker keeps only the last one."""
     key = id(shared) if not hasattr(shared, "id") else shared.id
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = Encoder(shared.value)
     return _ENCODERS[key]
 
