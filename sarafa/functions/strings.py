@@ -22,7 +22,7 @@ def clean_html(c: Column) -> Column:
     s = F.regexp_replace(c, "<[^>]*>", " ")
     for entity, char in ENTITIES:
         s = F.replace(s, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
 
 
 def title_tokens(c: Column) -> Column:
@@ -44,7 +44,7 @@ def ascii_tokens(c: Column) -> Column:
 
 def content_hash(c: Column) -> Column:
     """SHA-256 of the text with white space collapsed."""
-    return F.sha2(F.trim(F.regexp_replace(c, r"\s+", " ")), 256)
+    return F.sha2(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), 256)
 
 
 def dedup_key(c: Column) -> Column:
@@ -103,7 +103,7 @@ def window_starts(n: Column, width: int = 120, lap: int = 20) -> Column:
 
 def windows(c: Column, width: int = 120, lap: int = 20) -> Column:
     """The text's words in overlapping windows, joined by blanks; NULL for blank texts."""
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
     return F.transform(window_starts(F.size(words), width, lap), lambda i: F.array_join(F.slice(words, i + 1, F.lit(width)), " "))
 
 
@@ -120,3 +120,9 @@ def sector_kind(c: Column) -> Column:
     """bank, nbfc, real_estate or other, by words of a sector's or industry's name."""
     s = F.lower(F.coalesce(c, F.lit("")))
     return F.when(F.contains(s, F.lit("bank")), "bank").when(s.rlike("credit services|mortgage|conglomerate|nbfc"), "nbfc").when(F.contains(s, F.lit("real estate")), "real_estate").otherwise("other")
+
+
+def glossary(c: Column, terms: dict[str, str]) -> Column:
+    """The text of a term, whatever its case and outer blanks; NULL for a term the glossary lacks."""
+    known = F.create_map(*[F.lit(x) for k, v in terms.items() for x in (k.strip().lower(), v)]) if terms else F.create_map(F.lit(""), F.lit(None).cast("string"))
+    return F.try_element_at(known, F.lower(F.trim(c)))

@@ -28,6 +28,16 @@ def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter(ok), events.filter(~ok).withColumn("reason", reason)
 
 
+def boundary(events: DataFrame) -> DataFrame:
+    """events with refused: the first reason an item may not enter the log by (no key, no source, no content, bad date), NULL if it may.
+
+    A date may be missing; one that is stated must be in ISO form.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = (F.coalesce(F.col("as_of"), F.lit("")) != "") & dates.iso_date(F.col("as_of")).isNull()
+    return events.withColumn("refused", F.when(blank("item_key"), "no key").when(blank("source_id"), "no source").when(blank("content_hash"), "no content").when(bad, "bad date"))
+
+
 def with_previous(events: DataFrame, key: str, order: str, value: str, block: int = BLOCK) -> DataFrame:
     """events with prev, the value of the row before in its key; NULL for the first. Values are taken as not null; orders as unique in a key."""
     b = events.withColumn("_block", F.floor(F.col(order) / block))

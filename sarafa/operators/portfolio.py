@@ -86,16 +86,43 @@ def enrich_sectors(holdings: DataFrame, reference: DataFrame) -> DataFrame:
     return joined.withColumn("sector", F.when(blank, F.coalesce(found, F.lit(UNKNOWN))).otherwise(strip(F.col("sector")))).drop("industry")
 
 
+def _months(prices: DataFrame) -> DataFrame:
+    """prices with month: the blocks a symbol's history is handled in, so that one symbol never sorts in one task."""
+    return prices.withColumn("month", F.year("date") * 12 + F.month("date"))
+
+
 def returns(prices: DataFrame) -> DataFrame:
-    """(symbol, date, ret) of (symbol, date, close): change against the previous row of the symbol; the first has none."""
-    before = F.lag("close").over(W.partitionBy("symbol").orderBy("date"))
-    return prices.select("symbol", "date", (F.try_divide("close", before) - 1).alias("ret")).filter("ret IS NOT NULL")
+    """(symbol, date, ret) of (symbol, date, close): change against the previous row of the symbol; the first has none.
+
+    A month's first row takes the last close before it from a small table of the months' ends.
+    """
+    p = _months(prices)
+    ends = p.groupBy("symbol", "month").agg(F.max_by(F.struct("close"), "date").alias("end"))
+    before = ends.select("symbol", "month", F.lag("end").over(W.partitionBy("symbol").orderBy("month")).alias("carry"))
+    inside = F.lag(F.struct("close")).over(W.partitionBy("symbol", "month").orderBy("date"))
+    both = p.withColumn("prior", inside).join(before, ["symbol", "month"], "left")
+    prior = F.when(F.col("prior").isNotNull(), F.col("prior.close")).otherwise(F.col("carry.close"))
+    return both.select("symbol", "date", (F.try_divide("close", prior) - 1).alias("ret")).filter("ret IS NOT NULL")
 
 
 def drawdowns(prices: DataFrame) -> DataFrame:
-    """(symbol, max_drawdown): the deepest fall below the running maximum, 0 or negative."""
-    peak = F.max("close").over(W.partitionBy("symbol").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    return prices.select("symbol", F.try_divide(F.col("close") - peak, peak).alias("dd")).groupBy("symbol").agg(F.coalesce(F.least(F.min("dd"), F.lit(0.0)), F.lit(0.0)).alias("max_drawdown"))
+    """(symbol, max_drawdown): the deepest fall below the running maximum, 0 or negative.
+
+    The maximum runs within a month and over the months before it, which are one row each.
+    """
+    p = _months(prices)
+    tops = p.groupBy("symbol", "month").agg(F.max("close").alias("top"))
+    earlier = tops.select("symbol", "month", F.max("top").over(W.partitionBy("symbol").orderBy("month").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    inside = F.max("close").over(W.partitionBy("symbol", "month").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+    both = p.withColumn("inside", inside).join(earlier, ["symbol", "month"], "left")
+    peak = F.greatest("inside", "before")
+    return both.select("symbol", F.try_divide(F.col("close") - peak, peak).alias("dd")).groupBy("symbol").agg(F.coalesce(F.least(F.min("dd"), F.lit(0.0)), F.lit(0.0)).alias("max_drawdown"))
+
+
+def worst_drawdown(falls: DataFrame) -> DataFrame:
+    """The symbol with the deepest fall and that fall: one row, ties by symbol; none without symbols."""
+    worst = F.min_by(F.struct("symbol", "max_drawdown"), F.struct("max_drawdown", "symbol"))
+    return falls.agg(worst.alias("w")).filter("w IS NOT NULL").select("w.*")
 
 
 def risk(rets: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,10 +154,15 @@ def cagr_by_date(prices: DataFrame) -> DataFrame:
 
 
 def last_quote(prices: DataFrame) -> DataFrame:
-    """(symbol, last, previous, change_pct) of the last two closes; a single one is its own previous, change 0."""
-    r = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date")))
-    two = prices.filter("close IS NOT NULL").withColumn("r", r).filter("r <= 2").groupBy("symbol").agg(F.max(F.when(F.col("r") == 1, F.col("close"))).alias("last"), F.max(F.when(F.col("r") == 2, F.col("close"))).alias("p"))
+    """(symbol, last, previous, change_pct) of the last two closes; a single one is its own previous, change 0.
+
+    Two aggregates, each combined before its shuffle, in place of ranking a symbol's history.
+    """
+    known = prices.filter("close IS NOT NULL")
+    last = known.groupBy("symbol").agg(F.max("date").alias("at"), F.max_by("close", "date").alias("last"))
+    prior = known.join(last, "symbol").filter("date < at").groupBy("symbol").agg(F.max_by("close", "date").alias("p"))
     previous = F.coalesce("p", "last")
+    two = last.join(prior, "symbol", "left")
     return two.select("symbol", "last", previous.alias("previous"), F.when(previous == 0, 0.0).otherwise((F.col("last") - previous) / previous * 100).alias("change_pct"))
 
 

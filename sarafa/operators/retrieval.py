@@ -66,7 +66,7 @@ def top(scored: DataFrame, score: str, k: int = TOP_K) -> DataFrame:
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, pinned: DataFrame, k: int = TOP_K, id_column: str = "chunk_id") -> DataFrame:
-    """(query_id, id, score, is_pinned, rank): pinned chunks first, all of them, then the k best others.
+    """(query_id, id, score, is_pinned, rank): all pinned chunks, without a rank, and the k best others.
 
     Others must reach the cosine floor; BM25, divided by its greatest among the candidates, re-orders but never
     admits. pinned: (id). A query without candidates gives no row.
@@ -77,8 +77,11 @@ def hybrid(chunks: DataFrame, queries: DataFrame, pinned: DataFrame, k: int = TO
     cand = every.filter(F.col("is_pinned") | (F.col("cosine") >= FLOOR))
     best = cand.groupBy("query_id").agg(F.max("bm25").alias("best"))
     s = cand.join(best, "query_id").withColumn("score", F.col("cosine") + BM_WEIGHT * F.coalesce(F.try_divide("bm25", "best"), F.lit(0.0)))
-    w = W.partitionBy("query_id", "is_pinned").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("is_pinned") | (F.col("rank") <= k)).select("query_id", "id", "score", "is_pinned", "rank")
+    # Only the others are ranked, so that Spark limits each task's rows before it shuffles; pins are all kept.
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    names = ["query_id", "id", "score", "is_pinned", "rank"]
+    free = s.filter("NOT is_pinned").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return s.filter("is_pinned").withColumn("rank", F.lit(None).cast("int")).select(*names).unionByName(free.select(*names))
 
 
 def best_over_queries(scored: DataFrame, score: str, k: int = 18) -> DataFrame:

@@ -18,6 +18,7 @@ SWING_PROFIT, SWING_REVENUE, SWING_ABSURD = 40.0, 25.0, 500.0
 PE_CHEAP, PE_DEAR = 0.80, 1.20
 DEBT_LOW, DEBT_HIGH, COVER_LEAST, COVER_NONE = 0.50, 1.00, 3.0, 1.0
 GOOD_WEAK = {"roe": (15.0, 8.0), "roce": (15.0, 10.0), "roa": (6.0, 2.0), "net_margin": (12.0, 3.0), "op_margin": (15.0, 5.0), "asset_turnover": (1.0, 0.4)}
+TROUGH_BAND, SIP_BAND, PLEDGE_HIGH = 0.5, 3.0, 25.0
 # ---- end of fixed values ----
 
 #: Tiers an allocation may have.
@@ -58,10 +59,21 @@ def latest_growth(series: DataFrame) -> DataFrame:
     return s.filter("fy = last AND prior_fy = fy - 1 AND abs(prior) > 1e-9").select("entity", "fy", ((F.col("value") - F.col("prior")) / F.abs("prior") * 100).alias("growth_pct"))
 
 
+def opening(series: DataFrame) -> DataFrame:
+    """(entity, fy, value): the value of the year right before the latest one; none where that year is missing."""
+    s = series.filter("value IS NOT NULL")
+    last = s.groupBy("entity").agg(F.max("fy").alias("last"))
+    return s.join(last, "entity").filter("fy = last - 1").select("entity", "fy", "value")
+
+
 def swing(series: DataFrame, volatile: float = SWING_PROFIT) -> DataFrame:
-    """(entity, n_growths, swing, verdict): the range of yearly growth; NULL below two growths."""
+    """(entity, n_growths, swing, verdict): the range of yearly growth; NULL below two growths.
+
+    Growth through a change of sign means nothing, so such a series is told as sign_change, whatever its range.
+    """
     g = yearly_growth(series).groupBy("entity").agg(F.count("*").alias("n_growths"), F.when(F.count("*") >= 2, F.max("growth_pct") - F.min("growth_pct")).alias("swing"))
-    return g.withColumn("verdict", F.when(F.col("swing") >= SWING_ABSURD, "erratic").when(F.col("swing") >= volatile, "volatile").when(F.col("swing").isNotNull(), "steady"))
+    g = g.join(series.groupBy("entity").agg((F.bool_or(F.col("value") < 0) & F.bool_or(F.col("value") > 0)).alias("crossed")), "entity")
+    return g.select("entity", "n_growths", "swing", F.when(F.col("swing").isNotNull() & F.col("crossed"), "sign_change").when(F.col("swing") >= SWING_ABSURD, "erratic").when(F.col("swing") >= volatile, "volatile").when(F.col("swing").isNotNull(), "steady").alias("verdict"))
 
 
 def cash_conversion(cash: DataFrame, profit: DataFrame) -> DataFrame:
@@ -79,6 +91,12 @@ def turning_point(series: DataFrame, band: float = PEAK_BAND) -> DataFrame:
     return g.join(inner, "entity", "left").select("entity", "first", "last", F.when(high, F.col("top_fy")).alias("peak_fy"), F.when(high, F.col("top")).alias("peak"))
 
 
+def trough(series: DataFrame, band: float = TROUGH_BAND) -> DataFrame:
+    """(entity, trough_fy, trough): a low that is neither end and lies below both by more than the band; else NULL."""
+    low = turning_point(series.withColumn("value", -F.col("value")), band)
+    return low.select("entity", F.col("peak_fy").alias("trough_fy"), (-F.col("peak")).alias("trough"))
+
+
 def asof(left: DataFrame, prices: DataFrame) -> DataFrame:
     """(symbol, at, close): for each (symbol, at) the last close on or before at.
 
@@ -102,6 +120,24 @@ def median_pe(prices: DataFrame, eps: DataFrame) -> DataFrame:
     return pe.groupBy("symbol").agg(F.count("*").alias("n_years"), F.when(F.count("*") >= 2, F.median("pe")).alias("median_pe"))
 
 
+def first_median_pe(prices: DataFrame, *eps: DataFrame) -> DataFrame:
+    """(symbol, median_pe, basis) by the first of several tables of earnings a share that gives one; basis counts from 0.
+
+    In order: stated earnings a share, profit over each year's average shares, profit over today's shares.
+    """
+    found = None
+    for i, e in enumerate(eps):
+        one = median_pe(prices, e).filter("median_pe IS NOT NULL").select("symbol", "median_pe", F.lit(i).alias("basis"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("symbol").agg(F.min_by("median_pe", "basis").alias("median_pe"), F.min("basis").alias("basis"))
+
+
+def per_share(profit: DataFrame, shares: DataFrame) -> DataFrame:
+    """(symbol, fy, eps) of (symbol, fy, profit) and shares, which are by symbol and year or by symbol alone; shares must be positive."""
+    on = ["symbol", "fy"] if "fy" in shares.columns else ["symbol"]
+    return profit.join(shares.filter("shares > 0"), on).select("symbol", "fy", (F.col("profit") / F.col("shares")).alias("eps"))
+
+
 def average_base(closing: Column, opening: Column) -> Column:
     """The mean of closing and opening balance; the closing one where there is no positive opening."""
     return F.when(opening > 0, (closing + opening) / 2).otherwise(closing)
@@ -208,3 +244,14 @@ def trend_lines(revenue: DataFrame, profit: DataFrame) -> DataFrame:
         F.when(F.col("verdict").isNotNull(), F.concat(F.lit("profit growth "), F.col("verdict"))),
     ))
     return m.join(s, "entity", "left").select("entity", F.array_join(lines, "; ").alias("lines"))
+
+
+def sip_note(assumed_pct: Column, benchmark_pct: Column) -> Column:
+    """How an assumed return stands to the benchmark's: well above or below by more than three points, else in line; NULL without one."""
+    d = assumed_pct - benchmark_pct
+    return F.when(d > SIP_BAND, "well above").when(d < -SIP_BAND, "well below").when(d.isNotNull(), "in line with")
+
+
+def pledge_band(pct: Column) -> Column:
+    """none, watch or high (from PLEDGE_HIGH on); unknown where nothing is stated."""
+    return F.when(pct.isNull(), "unknown").when(pct <= 0, "none").when(pct >= PLEDGE_HIGH, "high").otherwise("watch")

@@ -12,6 +12,7 @@ from sarafa.operators import eventlog as E
 from sarafa.operators import portfolio as P
 from sarafa.operators import retrieval as R
 from sarafa.session import table
+from sarafa.sources import sinks
 
 TODAY = "2026-03-01"
 
@@ -147,7 +148,7 @@ def q47_upsert(s: SparkSession, d: str) -> DataFrame:
     """Suppliers with the balances of an update put in and new ones added."""
     old = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     new = table(s, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_acctbal").alias("s_acctbal"))
-    return old.join(new, "s_suppkey", "left_anti").unionByName(new)
+    return sinks.upserted(old, new, "s_suppkey")
 
 
 def q48_dedup_sort_cap(s: SparkSession, d: str) -> DataFrame:
@@ -213,6 +214,11 @@ bm AS (SELECT q.id AS query_id, p.id, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) *
 """
 _TITLED = f"titled AS (SELECT upper(trim(split_part(item_key, ':', 2))) AS symbol, trim(split_part(item_key, ':', 3)) AS day, event_id AS id, list_filter(string_split(regexp_replace(regexp_replace(lower(title), '[''’]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM ingestion_events WHERE trim(title) <> '' AND len(string_split(item_key, ':')) >= 3), toks AS (SELECT symbol, day, id, CASE WHEN len(list_filter(w, lambda x: NOT list_contains({list(strings.STOPWORDS)!r}, x))) > 0 THEN list_distinct(list_filter(w, lambda x: NOT list_contains({list(strings.STOPWORDS)!r}, x))) ELSE list_distinct(w) END AS t FROM titled)"
 
+_FEEDS = "WITH RECURSIVE " + _TITLED + r""", o AS (SELECT symbol || ':' || day AS feed, id, t, CAST(row_number() OVER (PARTITION BY symbol || ':' || day ORDER BY id) - 1 AS INTEGER) AS place FROM toks),
+r AS (SELECT feed, id, place, [{'n': place, 'w': t}] AS heads, place AS cluster FROM o WHERE place = 0
+  UNION ALL SELECT feed, id, place, CASE WHEN best IS NULL THEN list_append(heads, {'n': place, 'w': t}) ELSE heads END, coalesce(best, place) FROM (
+    SELECT o.feed, o.id, o.place, o.t, r.heads, list_sort(list_transform(list_filter(r.heads, lambda h: len(list_intersect(h.w, o.t)) >= 2 AND len(list_intersect(h.w, o.t)) * 2 >= least(len(h.w), len(o.t))), lambda h: {'o': -len(list_intersect(h.w, o.t)) / least(len(h.w), len(o.t)), 'n': h.n}))[1].n AS best FROM r JOIN o ON o.feed = r.feed AND o.place = r.place + 1))"""
+
 ORACLES = {
     "q27_event_actions": _LOG + " SELECT event_id, item_key, action FROM acts",
     "q27_current_versions": _CUR + " SELECT * FROM cur",
@@ -228,10 +234,12 @@ ORACLES = {
     "q34_hybrid_topk_pins": _IR + """, pins AS (SELECT chunk_id AS id FROM chunks WHERE lower(section) = 'balance sheet' AND source_id IN (SELECT source_id FROM source_registry WHERE tier = 'primary')),
 c AS (SELECT cos.query_id, cos.id, cosine, bm25, cos.id IN (SELECT id FROM pins) AS is_pinned FROM cos LEFT JOIN bm ON bm.query_id = cos.query_id AND bm.id = cos.id), k AS (SELECT * FROM c WHERE is_pinned OR cosine >= 0.1),
 s AS (SELECT *, cosine + 0.5 * coalesce(bm25 / nullif(max(bm25) OVER (PARTITION BY query_id), 0), 0) AS score FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, is_pinned ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, is_pinned FROM r WHERE is_pinned OR rank <= 5""",
-    "q35_window_chunks": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{0b}]+'), lambda w: w <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 120) / 100.0), 0) AS BIGINT) + 1)) AS i FROM w WHERE len(w) > 0) SELECT doc_id, CAST(i AS INTEGER) AS piece, array_to_string(w[i * 100 + 1 : i * 100 + 120], ' ') AS words FROM s",
+    "q35_window_chunks": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(ceil((len(w) - 120) / 100.0), 0) AS BIGINT) + 1)) AS i FROM w WHERE len(w) > 0) SELECT doc_id, CAST(i AS INTEGER) AS piece, array_to_string(w[i * 100 + 1 : i * 100 + 120], ' ') AS words FROM s",
     "q36_near_dup_pairs": "WITH " + _TITLED + ", p AS (SELECT symbol, day, id, len(t) AS n, unnest(t) AS token FROM toks), h AS (SELECT a.symbol, a.day, a.id AS id_a, b.id AS id_b, least(a.n, b.n) AS m, count(*) AS n_shared FROM p a JOIN p b ON a.symbol = b.symbol AND a.day = b.day AND a.token = b.token AND a.id < b.id GROUP BY ALL) SELECT symbol, day, id_a, id_b, n_shared, round(n_shared / m, 9) AS overlap FROM h WHERE n_shared >= 2 AND n_shared / m >= 0.5",
-    "q38_content_hash_dups": r"SELECT hash, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x{0b}]+', ' ', 'g'), ' ')) AS hash FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
-    "q39_html_clean": r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace('<p class=''x''>' || replace(text, '&', '&amp;') || '</p><br/>&nbsp;end', '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{0b}]+', ' ', 'g'), ' ')) AS clean FROM documents WHERE text IS NOT NULL",
+    "q37_near_dup_clusters": _FEEDS + " SELECT feed, id, cluster FROM r",
+    "q37_representatives": _FEEDS + f", d AS (SELECT r.*, (SELECT {_DAY} FROM ingestion_events WHERE event_id = r.id) AS dy FROM r) SELECT feed, cluster, arg_min(id, ROW(dy IS NULL, -epoch(dy), id)) AS id, count(*) AS n FROM d GROUP BY 1, 2",
+    "q38_content_hash_dups": r"SELECT hash, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ')) AS hash FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
+    "q39_html_clean": r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace('<p class=''x''>' || replace(text, '&', '&amp;') || '</p><br/>&nbsp;end', '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ')) AS clean FROM documents WHERE text IS NOT NULL",
     "q41_material_numbers": r"""WITH b AS (SELECT doc_id, regexp_replace(text, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\bFY\s?[0-9]{2,4}\b|\b(?:19|20)[0-9]{2}-[0-9]{2}\b', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: regexp_replace(x, '[^0-9.]', '', 'g')), lambda x: length(replace(x, '.', '')) >= 3) AS a, list_transform(regexp_extract_all(t, '[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:%|bps\b|crore|lakh|million|billion|x\b)'), lambda x: regexp_replace(x, '[^0-9.]', '', 'g')) AS b FROM b)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(a, b))), ' ') AS numbers FROM k""",

@@ -88,7 +88,7 @@ class _Tables(HTMLParser):
 
 
 def html_cells(pages: DataFrame, id_column: str = "symbol", html_column: str = "html") -> DataFrame:
-    """(id, table_no, row_no, label, period, value): the tables of pages with periods in the first row, one row per cell.
+    """(id, table_no, row_no, col_no, label, period, value): the tables of pages with periods in the first row, one row per cell.
 
     Labels lose a trailing "+"; cells that are no numbers have a NULL value; pages without tables give none.
     """
@@ -102,25 +102,53 @@ def html_cells(pages: DataFrame, id_column: str = "symbol", html_column: str = "
                 for t, table in enumerate(parser.tables):
                     head = table[0] if table else []
                     for r, cells in enumerate(table[1:]):
-                        rows += [(i, t, r, cells[0].rstrip("+ ").strip(), p, c) for p, c in zip(head[1:], cells[1:])]
-            types = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=["id", "table_no", "row_no", "label", "period", "cell"])
+                        rows += [(i, t, r, k, cells[0].rstrip("+ ").strip(), p, c) for k, (p, c) in enumerate(zip(head[1:], cells[1:]))]
+            types = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=["id", "table_no", "row_no", "col_no", "label", "period", "cell"])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    cells = pages.select(F.col(id_column).alias("id"), F.col(html_column).cast("string")).mapInArrow(run, f"id {kind}, table_no int, row_no int, label string, period string, cell string")
+    cells = pages.select(F.col(id_column).alias("id"), F.col(html_column).cast("string")).mapInArrow(run, f"id {kind}, table_no int, row_no int, col_no int, label string, period string, cell string")
     number = F.regexp_replace("cell", "[,%]", "").try_cast("double")
-    return cells.select("id", "table_no", "row_no", "label", "period", F.when(~F.isnan(number), number).alias("value"))
+    return cells.select("id", "table_no", "row_no", "col_no", "label", "period", F.when(~F.isnan(number), number).alias("value"))
+
+
+def annual(cells: DataFrame) -> DataFrame:
+    """(id, table_no) of the tables by year: at least two years among their periods, and no two month names.
+
+    A quarterly table has the labels of an annual one, but its periods go through the months.
+    """
+    month = F.nullif(F.lower(F.regexp_extract("period", r"(?i)\b([a-z]{3})[a-z]*\.?\s+[0-9]{4}", 1)), F.lit(""))
+    n = cells.groupBy("id", "table_no").agg(F.count_distinct(dates.first_year(F.col("period"))).alias("years"), F.count_distinct(month).alias("months"))
+    return n.filter("years >= 2 AND months <= 1").select("id", "table_no")
 
 
 def yearly(cells: DataFrame, label: str, figure: str, factor: float = CRORE) -> DataFrame:
-    """(entity, figure, fy, value) of the first row whose label is or begins with the given one, in tables of at least two years."""
+    """(entity, figure, fy, value) of the first row whose label is or begins with the given one, in annual tables."""
     c = cells.withColumn("fy", dates.first_year(F.col("period"))).filter("fy IS NOT NULL")
-    annual = c.groupBy("id", "table_no").agg(F.count_distinct("fy").alias("n")).filter("n >= 2")
-    hit = c.filter(F.lower("label").startswith(label.lower())).join(annual, ["id", "table_no"], "left_semi")
+    hit = c.filter(F.lower("label").startswith(label.lower())).join(annual(cells), ["id", "table_no"], "left_semi")
     first = hit.groupBy("id").agg(F.min(F.struct("table_no", "row_no")).alias("at")).select("id", "at.*")
     return hit.join(first, ["id", "table_no", "row_no"], "left_semi").filter("value IS NOT NULL").select(F.col("id").alias("entity"), F.lit(figure).alias("figure"), "fy", (F.col("value") * factor).alias("value"))
 
 
+def holding_series(cells: DataFrame) -> DataFrame:
+    """(entity, ord, period, value): the promoters' row of the first table that has rows of promoters and of the public, in column order."""
+    begins = lambda word: F.lower("label").startswith(word)
+    both = cells.groupBy("id", "table_no").agg(F.bool_or(begins("promoters")).alias("p"), F.bool_or(begins("public")).alias("q")).filter("p AND q").groupBy("id").agg(F.min("table_no").alias("table_no"))
+    hit = cells.filter(begins("promoters")).join(both, ["id", "table_no"], "left_semi")
+    first = hit.groupBy("id").agg(F.min("row_no").alias("row_no"))
+    return hit.join(first, ["id", "row_no"], "left_semi").filter("value IS NOT NULL").select(F.col("id").alias("entity"), F.col("col_no").alias("ord"), F.trim("period").alias("period"), "value")
+
+
+def cash_cycle(cells: DataFrame) -> DataFrame:
+    """(entity, figure, fy, value) in days; negative where suppliers fund the business."""
+    return yearly(cells, "cash conversion cycle", "cash_cycle_days", 1.0)
+
+
+def searchable(companies: DataFrame, name_column: str = "company_name") -> DataFrame:
+    """The companies that may be searched for in news: those with a name, never a bare ticker."""
+    return companies.filter(F.coalesce(F.trim(name_column), F.lit("")) != "")
+
+
 def added(a: DataFrame, b: DataFrame, figure: str) -> DataFrame:
     """The sum of two figures in the years that have both: capital and reserves, profit and interest."""
     return a.withColumnRenamed("value", "x").drop("figure").join(b.withColumnRenamed("value", "y").drop("figure"), ["entity", "fy"]).select("entity", F.lit(figure).alias("figure"), "fy", (F.col("x") + F.col("y")).alias("value"))

@@ -34,6 +34,12 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(keys, key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def merged(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The base rows, and those of more whose key the base lacks; of more's rows with one key one stays. Null keys of more are left out."""
+    fresh = more.filter(F.col(key).isNotNull()).join(base.select(key), key, "left_anti").dropDuplicates([key])
+    return base.unionByName(fresh, allowMissingColumns=True)
+
+
 def upsert(spark: SparkSession, new: DataFrame, path: str, key: str) -> str:
     """Writes the upserted table as a new version below path and returns that version's path.
 

@@ -5,10 +5,10 @@ import os
 import pytest
 from oracle import database, differences
 
-from sarafa.plans import core, evidence, figures, portfolio, texts
+from sarafa.plans import core, evidence, figures, portfolio, rules, texts
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = (core, portfolio, figures, texts, evidence)
+MODULES = (core, portfolio, figures, texts, evidence, rules)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 ORACLES = {n: q for m in MODULES for n, q in m.ORACLES.items()}
 
