@@ -37,6 +37,9 @@ PLAIN = {**{chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00,
 JOINER = "‍"
 # ---- end of fixed values ----
 
+#: Documents of one stored text that meet those of another in one task, and hot texts that may be broadcast.
+BLOCK, HOT_MOST = 4096, 100_000
+
 
 @lru_cache(1)
 def properties() -> tuple[dict[str, str], re.Pattern, re.Pattern]:
@@ -125,17 +128,39 @@ def normal_forms(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def same_look_pairs(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: non-blank texts that differ as stored but have one form.
 
-    Texts are normalized once and travel as 128-bit digests. Within a form the differing stored texts are paired as classes first and
-    documents are attached to the classes afterwards, so a form that a third of all documents share in one
-    stored text costs no pairs among these copies.
+    Texts are normalized once and travel as 128-bit digests. Within a form the differing stored texts are paired as classes
+    first (same_look_classes) and documents are attached to the classes last, in blocks of at most about BLOCK documents, so
+    that a stored text that a third of all documents share is spread over many tasks.
     """
+    member, several, pair = _classes(docs, id_column)
+    hot = several.filter("blocks > 1").select("stored", "blocks")
+    n_hot, own = hot.count(), F.lit(0)
+    placed = member.select("id", "stored")
+    if n_hot:
+        placed = placed.join(F.broadcast(hot) if n_hot <= HOT_MOST else hot, "stored", "left")
+        own = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = placed.select("id", "stored", own.alias("block"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spread = pair.select("sa", every("na").alias("ba"), "sb", "nb").select("sa", "ba", "sb", every("nb").alias("bb"))
+    a = placed.select(F.col("stored").alias("sa"), F.col("block").alias("ba"), F.col("id").alias("ia"))
+    b = placed.select(F.col("stored").alias("sb"), F.col("block").alias("bb"), F.col("id").alias("ib"))
+    out = spread.join(a, ["sa", "ba"]).join(b, ["sb", "bb"])
+    return out.select(F.least("ia", "ib").alias(f"{id_column}_a"), F.greatest("ia", "ib").alias(f"{id_column}_b"))
+
+
+def _classes(docs: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, form, stored) of the non-blank documents; (form, stored, rep, blocks) of the stored texts; (sa, na, ra, sb, nb, rb) of two of one form."""
     forms = normal_forms(docs, id_column).filter("form IS NOT NULL").filter(~F.col("form").rlike(r"^\s*$"))
     member = cut(forms.select("id", F.md5("form").alias("form"), F.md5("stored").alias("stored")))
-    several = member.groupBy("form", "stored").agg(F.count("*").alias("n"))
+    several = cut(member.groupBy("form", "stored").agg(F.min("id").alias("rep"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     both = several.groupBy("form").agg(F.count("*").alias("k")).filter("k > 1")
-    cls = several.join(both, "form", "left_semi").select("form", "stored")
-    pair = cls.alias("x").join(cls.alias("y"), "form").filter("x.stored < y.stored").select(F.col("x.stored").alias("sa"), F.col("y.stored").alias("sb"))
-    a = member.select(F.col("stored").alias("sa"), F.col("id").alias("ia"))
-    b = member.select(F.col("stored").alias("sb"), F.col("id").alias("ib"))
-    out = pair.join(a, "sa").join(b, "sb")
-    return out.select(F.least("ia", "ib").alias(f"{id_column}_a"), F.greatest("ia", "ib").alias(f"{id_column}_b"))
+    cls = several.join(both, "form", "left_semi")
+    x, y = cls.alias("x"), cls.alias("y")
+    pair = x.join(y, "form").filter("x.stored < y.stored").select(F.col("x.stored").alias("sa"), F.col("x.blocks").alias("na"), F.col("x.rep").alias("ra"), F.col("y.stored").alias("sb"), F.col("y.blocks").alias("nb"), F.col("y.rep").alias("rb"))
+    return member, several, pair
+
+
+def same_look_classes(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: the pairs of differing stored texts of one form, each text named by its least document."""
+    _, _, pair = _classes(docs, id_column)
+    return pair.select(F.least("ra", "rb").alias(f"{id_column}_a"), F.greatest("ra", "rb").alias(f"{id_column}_b"))

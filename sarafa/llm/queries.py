@@ -67,12 +67,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.same_look_pairs(_table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of differing stored texts that look the same, each named by its first document."""
+    return normal_form.same_look_classes(_table(spark, sf_dir, "documents"))
+
+
 def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's normal form."""
     return normal_form.normal_forms(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "form")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_forms": p9_forms}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_classes": p9_classes, "p9_forms": p9_forms}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -92,8 +97,21 @@ d AS (SELECT DISTINCT *, array_to_string(ws, ' ') AS slug FROM n)
 SELECT min(a.event_id) AS first_event_id, b.event_id FROM d a JOIN d b ON a.sha = b.sha AND a.kind = b.kind AND a.symbol = b.symbol AND a.day IS NOT DISTINCT FROM b.day AND a.event_id < b.event_id
 WHERE a.slug = b.slug OR levenshtein(a.slug, b.slug) * 2 <= greatest(length(a.slug), length(b.slug)) OR len(list_intersect(a.ws, b.ws)) * 2 >= greatest(1, least(len(a.ws), len(b.ws))) GROUP BY b.event_id"""
 
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_LIKE = "".join(normal_form.LOOKALIKES), "".join(normal_form.LOOKALIKES.values())
+_LOOK = (
+    r"regexp_replace(regexp_replace(text, '([^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])\x{200D}', '\1', 'g'), '[\x{AD}\x{34F}\x{61C}\x{180B}-\x{180F}\x{200B}\x{200C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]', '', 'g')",
+    r"regexp_replace({}, '[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g')",
+    "translate(nfc_normalize({}), '" + _WIDE.replace("'", "''") + _LIKE[0] + "‐‑', '" + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE).replace("'", "''") + _LIKE[1] + "--')",
+    "replace(replace(replace(replace(replace(replace({}, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...')",
+)
+_FORM = "nfc_normalize(" + _LOOK[3].replace("{}", _LOOK[2].replace("{}", _LOOK[1].replace("{}", _LOOK[0], 1), 1), 1) + ")"
+_P9 = f"WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL), g AS (SELECT * FROM f WHERE trim(form, ' ' || chr(9) || chr(10) || chr(13)) <> '')"
+
 ORACLES = {
     "p2_found": _P2,
+    "p9_found": _P9 + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p9_classes": _P9 + ", c AS (SELECT form, text, min(doc_id) AS rep FROM g GROUP BY 1, 2) SELECT a.rep AS doc_id_a, b.rep AS doc_id_b FROM c a JOIN c b ON a.form = b.form AND a.rep < b.rep",
     "p6_links": _WORDS + " SELECT x AS event_id_a, y AS event_id_b FROM l",
     # A class is linked with few others, so walking its links ends soon.
     "p6_groups": _WORDS.replace("WITH w", "WITH RECURSIVE w")

@@ -77,3 +77,15 @@ def test_pairs_of_the_corpus(tables, rows):
         forms.setdefault(canonical(t), []).append((i, t))
     want = sorted(tuple(sorted((i, j))) for v in forms.values() for (i, a), (j, b) in itertools.combinations(v, 2) if a != b)
     assert sorted(tuple(r) for r in same_look_pairs(tables("documents")).collect()) == want
+
+
+def test_a_hot_text_meets_its_variants_in_blocks(spark, monkeypatch):
+    from sarafa.llm import normal_form
+
+    monkeypatch.setattr(normal_form, "BLOCK", 7)
+    texts = ["same caf\u00e9"] * 40 + ["same cafe\u0301"] * 9 + ["same\u00a0caf\u00e9", "other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [tuple(r) for r in same_look_pairs(df).collect()]
+    want = {(i, j) for i, j in itertools.combinations(range(50), 2) if texts[i] != texts[j]}
+    assert len(got) == len(want) and set(got) == want
+    assert sorted(tuple(r) for r in normal_form.same_look_classes(df).collect()) == [(0, 40), (0, 49), (40, 49)]
