@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sarafa.llm import canonical_values, history, mixing, near_dup, normal_form, splitting, tokens
+from sarafa.llm import canonical_values, history, index, mixing, near_dup, normal_form, splitting, tokens
+from sarafa.llm.lineage import work_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.known_before(_table(spark, sf_dir, "ingestion_events"))
 
 
+def p2_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the newest batch brings once more, by the index in files that all earlier arrivals are in."""
+    events = _table(spark, sf_dir, "ingestion_events")
+    newest = events.agg(F.max("batch_no")).scalar()
+    marked = events.withColumn("last", F.coalesce(F.col("batch_no") == newest, F.lit(False)))
+    history = index.HistoryIndex(spark, work_path(spark, "history"))
+    history.add(marked.filter("NOT last").drop("last"))
+    return history.add(marked.filter("last").drop("last"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed symbols and sectors with the entries they mean."""
     return canonical_values.canonical_values(_table(spark, sf_dir, "sample_portfolio"), _table(spark, sf_dir, "ref_symbols"), _table(spark, sf_dir, "ref_sectors"))
@@ -77,7 +88,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_form.normal_forms(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "form")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_classes": p9_classes, "p9_forms": p9_forms}
+QUERIES = {"p2_found": p2_found, "p2_latest": p2_latest, "p3_found": p3_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_classes": p9_classes, "p9_forms": p9_forms}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -110,6 +121,7 @@ _P9 = f"WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE tex
 
 ORACLES = {
     "p2_found": _P2,
+    "p2_latest": f"SELECT * FROM ({_P2}) WHERE event_id IN (SELECT event_id FROM ingestion_events WHERE batch_no = (SELECT max(batch_no) FROM ingestion_events))",
     "p9_found": _P9 + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p9_classes": _P9 + ", c AS (SELECT form, text, min(doc_id) AS rep FROM g GROUP BY 1, 2) SELECT a.rep AS doc_id_a, b.rep AS doc_id_b FROM c a JOIN c b ON a.form = b.form AND a.rep < b.rep",
     "p6_links": _WORDS + " SELECT x AS event_id_a, y AS event_id_b FROM l",
