@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sarafa.llm import near_dup as N
 
@@ -185,3 +186,68 @@ def test_class_links_and_groups_name_least_records(spark):
     assert [tuple(r) for r in d.class_links().collect()] == [(ids[0], ids[2])]
     got = {r.event_id: (r.class_id, r.group_id, r.n_links) for r in d.groups().collect()}
     assert got == {ids[0]: (ids[0], ids[0], 1), ids[1]: (ids[0], ids[0], 1), ids[2]: (ids[2], ids[0], 1), ids[3]: (ids[3], ids[3], 0)}
+
+
+def test_words_of_a_large_table_share_no_counters(spark):
+    """With as many words as a fixed sketch has counters, words of a few sets still count as rare, and words of one as alone."""
+    n = 100_000
+    own = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.hash(F.col("id") * 10 + k))
+    sets = spark.range(n).select(F.array_sort(F.array_distinct(F.concat(own, F.array(F.hash(F.concat(F.lit("pair"), F.floor(F.col("id") / 2))), F.hash(F.lit("all")))))).alias("words"))
+    counts = N.frequencies(sets)
+    words = lambda texts: np.array([r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.hash("t").alias("h")).collect()], np.int32)
+    alone = np.array([r.h for r in spark.range(1000).select(F.hash("id").alias("h")).collect()], np.int32)
+    assert counts.classes == n and (counts.of(alone)[0] == 1).mean() > 0.6
+    twice = counts.of(words([f"pair{i}" for i in range(1000)]))[0]
+    assert twice.min() >= 2 and np.median(twice) < 16
+    assert counts.of(words(["all"]))[0][0] >= n
+
+
+def test_counts_are_never_too_low(spark, monkeypatch):
+    """With few words, steps beyond 16 bits between their counters included."""
+    monkeypatch.setattr(N, "FINE", 1 << 18)
+    rng = np.random.default_rng(5)
+    sets = [sorted({int(w) for w in rng.geometric(0.01, 8) * 40_009}) for _ in range(300)]
+    counts = N.frequencies(spark.createDataFrame([(s,) for s in sets], "words array<int>"))
+    flat = np.concatenate([np.array(s, np.int32) for s in sets])
+    true = dict(zip(*np.unique(flat, return_counts=True)))
+    assert all(c >= true[w] for w, c in zip(flat, counts.of(flat)[0]))
+    assert (np.diff(np.sort(flat.view(np.uint32) & np.uint32(8 * len(counts.lone) - 1))) > 0xFFFF).any()
+
+
+@pytest.mark.parametrize("threshold", [0.33, 0.5, 0.6, 0.8, 1.0])
+def test_marks_lose_no_pair(spark, threshold):
+    rng = random.Random(9)
+    pool = [rng.randrange(-(2**31), 2**31) for _ in range(400)]
+    sets = [rng.sample(pool, rng.choice((1, 2, 5, 12, 60, 253, 254, 255, 256, 300))) for _ in range(60)]
+    sets += [[w for w in s if rng.random() < rng.choice((0.6, 0.8, 0.95))] + rng.sample(pool, 1) for s in sets for _ in range(2)]
+    sets = [np.unique(np.array(s, np.int32)) for s in sets]
+    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    m = N.marks(flat, starts)
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2)]
+    told = spark.createDataFrame([(int(m[i]), int(m[j])) for i, j in pairs], "a bigint, b bigint").select(N.may_link(F.col("a"), F.col("b"), threshold).alias("may")).collect()
+    similar = []
+    for (i, j), r in zip(pairs, told):
+        n = len(np.intersect1d(sets[i], sets[j]))
+        if n * 10_000 >= round(threshold * 10_000) * (len(sets[i]) + len(sets[j]) - n):
+            similar.append(r.may)
+    assert all(similar) and similar and not all(r.may for r in told)
+
+
+def test_bands_of_words_of_one_set_are_not_sent(spark):
+    titles = [f"alone{i}a alone{i}b alone{i}c" for i in range(50)] + ["twin one two three", "twin one two four"]
+    assert {tuple(r) for r in N.NearDuplicates(table(spark, titles), "event_id", "title").pairs().collect()} == brute(titles) == {(50, 51)}
+    sets = table(spark, titles).select(F.col("event_id").alias("rep"), F.array_sort(F.transform(N.words(F.col("title")), lambda w: F.hash(w))).alias("words"))
+    counts = N.frequencies(sets)
+    known = spark.sparkContext.broadcast((counts, 1.0 / np.concatenate([[1], counts.coarse])))
+    rows = N.bands(sets, known, 0.6).collect()
+    assert {r.rep for r in rows} == {50, 51} and 0 < sum(r.band % 2 for r in rows if r.rep == 50) <= N.BANDS
+
+
+def test_pairs_of_copies_are_not_shuffled(spark):
+    """Repeating a table multiplies the pairs by the square: none of them passes an exchange; ids of several rows still give each pair once."""
+    d = N.NearDuplicates(table(spark, ["a b c d"] * 30 + ["a b c d e"] * 30), "event_id", "title").pairs()
+    assert d.count() == 60 * 59 // 2
+    assert d._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].startswith("Project")
+    rows = [(0, "a b c d"), (0, "a b c d"), (1, "a b c d"), (2, "a b c d e"), (2, "a b c d e")]
+    got = [tuple(r) for r in N.NearDuplicates(spark.createDataFrame(rows, "event_id bigint, title string"), "event_id", "title").pairs().collect()]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2)]
